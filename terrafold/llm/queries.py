@@ -3,9 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linedup, secrets
-from .common import tables
+from . import idstore, linedup, packing, rollups, secrets
+from .common import Scratch, tables
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 ids; a row per piece."""
+    return packing.pack(tables(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version, kept by batches: load, the same load again, a revision
+    of every count (the end id is counted from then on) under a second version, and the deletion of documents
+    without tokens."""
+    scratch = Scratch(spark)
+    docs = tables(spark, sf_dir, "documents")
+    counted = scratch.write(rollups.count_tokens(docs, _vocabulary("byte_bpe_50k.json"), "byte_bpe_50k.1"), "counted")
+    none = F.lit(None).cast("long")
+    load = counted.select(F.lit("insert").alias("action"), "*", none.alias("old_tokens"))
+    second = counted.withColumn("tokenizer", F.lit("byte_bpe_50k.2"))
+    rollup = rollups.Rollup(spark, scratch.path("rollup"))
+    rollup.commit("load", load)
+    rollup.commit("load", load)
+    rollup.commit("load-2", second.select(F.lit("insert").alias("action"), "*", none.alias("old_tokens")))
+    rollup.commit("revise-2", second.select(F.lit("revise").alias("action"), "doc_id", "source", "lang", "tokenizer", (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))
+    rollup.commit("empty-1", counted.filter("n_tokens = 0").select(F.lit("delete").alias("action"), "*", none.alias("old_tokens")))
+    return rollup.totals()
+
+
+def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to a content-addressed store and verified from its files."""
+    path = Scratch(spark).path("store")
+    idstore.write(tables(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"))
+    return idstore.digest(spark, path)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +57,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op8_secret_scan, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_token_counts, op5_id_store, op8_secret_scan, op9_line_dedup)}
 ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL}
