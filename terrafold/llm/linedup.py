@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
 A line is boilerplate on a host if it stands on at least ``min_pages`` of its pages and on more than
-``max_ratio`` of them. Pages lose their boilerplate lines; every other line stays, in order.
+``max_ratio`` of them. Pages lose their boilerplate lines; every other line stays, in order. A page of which
+more than ``max_share`` of the lines with text would go is a copy, not a page with boilerplate: it keeps all
+(near-duplicate removal takes it).
 
 Plan: each page gives one row per different line, as a 64-bit hash, to a map-side combined count per
 (host, hash), so a line on a third of all pages costs a row per task. At most
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, Scratch, col, free_name
 
 #: Production parameters.
-MAX_RATIO = 0.02
+MAX_RATIO = 0.01
 MIN_PAGES = 20
+MAX_SHARE = 0.5
 
 
 def _norm(line):
@@ -40,7 +43,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
     return c.join(t, F.col("c.host").eqNullSafe(F.col("t.host"))).filter(F.col("n_pages") > F.lit(max_ratio) * F.col("total")).select("c.host", "line_hash", "n_pages", "total")
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, max_share: float = MAX_SHARE, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``; names given for n_lines and n_dropped add those counts."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
@@ -53,16 +56,17 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         right = F.broadcast(right)
     joined = pages.join(right, col(host).eqNullSafe(col(key)), "left")
     lines = F.split(col(text), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(col(drop), F.xxhash64(_norm(x))) | (_norm(x) == ""))
-    cleaned = F.when(col(drop).isNull(), col(text)).otherwise(F.array_join(kept, "\n"))
-    out = []
-    for c in pages.columns:
-        out.append(cleaned.alias(c) if c == text else col(c))
-    size_of = lambda a: F.when(col(text).isNull(), 0).otherwise(F.size(a)).cast("long")
+    # The kept lines; null: the text stays as it is.
+    a, b, n = (free_name(pages, f"tf_{x}") for x in ("lines", "kept", "worded"))
+    kept = F.filter(col(a), lambda x: ~F.array_contains(col(drop), F.xxhash64(_norm(x))) | (_norm(x) == ""))
+    worded = F.size(F.filter(col(a), lambda x: _norm(x) != ""))
+    joined = joined.withColumn(a, lines).withColumn(n, worded).withColumn(b, F.when(col(drop).isNotNull(), kept))
+    joined = joined.withColumn(b, F.when(F.size(a) - F.size(b) <= F.lit(max_share) * col(n), col(b)))
+    out = [F.when(col(b).isNull(), col(text)).otherwise(F.array_join(b, "\n")).alias(c) if c == text else col(c) for c in pages.columns]
     if n_lines:
-        out.append(size_of(lines).alias(n_lines))
+        out.append(F.coalesce(F.when(col(text).isNotNull(), F.size(a)), F.lit(0)).cast("long").alias(n_lines))
     if n_dropped:
-        out.append((size_of(lines) - F.when(col(drop).isNull(), size_of(lines)).otherwise(size_of(kept))).alias(n_dropped))
+        out.append(F.when(col(b).isNull(), 0).otherwise(F.size(a) - F.size(b)).cast("long").alias(n_dropped))
     return joined.select(*out)
 
 
@@ -72,9 +76,9 @@ WITH l AS (SELECT doc_id, source, pos, line, trim(line, concat(' ', chr(9), chr(
 c AS (SELECT source, norm, count(DISTINCT doc_id) AS n FROM l WHERE norm <> '' GROUP BY source, norm),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 b AS (SELECT c.source, c.norm FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= {MIN_PAGES} AND n > {MAX_RATIO} * total),
-k AS (SELECT l.doc_id, count(*) AS n_lines, count(b.norm) AS n_dropped, string_agg(CASE WHEN b.norm IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS kept
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(b.norm) AS n_dropped, count(b.norm) > {MAX_SHARE} * count(CASE WHEN l.norm <> '' THEN 1 END) AS copy, string_agg(CASE WHEN b.norm IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS kept
   FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.norm = b.norm GROUP BY l.doc_id)
-SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text,
-  coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL OR k.copy THEN d.text ELSE coalesce(k.kept, '') END AS text,
+  coalesce(k.n_lines, 0) AS n_lines, CASE WHEN k.copy THEN 0 ELSE coalesce(k.n_dropped, 0) END AS n_dropped
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
