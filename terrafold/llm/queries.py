@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, linedup, packing, rollups, secrets, simhash
+from . import decontam, idstore, linedup, packing, quality, rollups, secrets, simhash
 from .common import Scratch, tables
 
 
@@ -51,6 +51,16 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.digest(spark, path)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a ten-word window of a benchmark item."""
+    return decontam.decontaminate(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and cross-document line frequency of every document."""
+    return quality.rate(tables(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole text; a row per document."""
     return secrets.scan(tables(spark, sf_dir, "documents"))
@@ -62,5 +72,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op8_secret_scan, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup)}
 ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL}
