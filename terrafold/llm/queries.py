@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, idstore, linedup, packing, quality, rollups, secrets, simhash
+from . import decontam, idstore, linedup, packing, quality, rollups, secrets, simhash, toxicity
 from .common import Scratch, tables
 
 
@@ -15,6 +15,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.rate(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of near duplicates of every document."""
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
@@ -72,5 +77,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup)}
 ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL}
