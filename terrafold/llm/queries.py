@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, idstore, linedup, packing, quality, rollups, secrets, simhash, toxicity
+from . import decontam, idstore, linedup, packing, phrases, quality, rollups, secrets, simhash, toxicity
 from .common import Scratch, tables
 
 
@@ -77,5 +77,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that start anywhere else."""
+    return phrases.remove_repeats(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_substring_dedup)}
 ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL}
