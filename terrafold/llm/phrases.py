@@ -232,6 +232,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, text: str = "text", k
     rows = _rows(docs, text, key)
     every = scratch.write(_anchors(rows, window), "anchors")
     twice = every.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # A table of its own, so that the join deals out both sides and Spark can split a frequent anchor's rows.
+    twice = scratch.write(twice, "twice")
     runs = every.select("k1", "k2", F.posexplode("anchors").alias("run", "anchor")).join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
     texts = scratch.write(rows.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs"), "texts")
     counted = _segments(texts, window, True).groupBy("anchor", "name", "segment").agg(F.count(F.lit(1)).alias("times"))
