@@ -132,8 +132,7 @@ def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, r
 def _outer(left: DataFrame, right: DataFrame, pred: str, lg: str, rg: str, distance: float | None, how: str, cell: float | None) -> DataFrame:
     """Other kinds of join, from the inner join of row numbers and geometries. Both sides are numbered once, on
     tables that a checkpoint fixes, as numbers given anew on a retry could differ."""
-    l = left.withColumn("tf_l", F.monotonically_increasing_id()).checkpoint() if how != "right" else left.withColumn("tf_l", F.monotonically_increasing_id()).checkpoint()
-    r = right.withColumn("tf_r", F.monotonically_increasing_id()).checkpoint()
+    l, r = (d.withColumn(n, F.monotonically_increasing_id()).checkpoint() for d, n in ((left, "tf_l"), (right, "tf_r")))
     pairs = spatial_join(l.select("tf_l", F.col(lg).alias("tf_lg")), r.select("tf_r", F.col(rg).alias("tf_rg")), pred, "tf_lg", "tf_rg", distance, "inner", cell).select("tf_l", "tf_r")
     if how in ("left_semi", "left_anti"):
         return l.join(pairs.select("tf_l").distinct(), "tf_l", how).select(*left.columns)
