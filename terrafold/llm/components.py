@@ -2,7 +2,7 @@
 
 Each round points neighbours at the smallest node that a node sees; after O(log^2 n) rounds every component is
 a star around its smallest node. Rounds are written to the shared folder. Minima are combined on the map side
-and a hub's edges meet its minimum in a join that Spark splits where it is skewed.
+and written too, so that the join in which a hub's edges meet its minimum deals out both sides and Spark can split it.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ def stars(edges: DataFrame, scratch: Scratch, name: str = "stars", rounds: int =
     mark = _mark(now)
     for k in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}{k}least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # u > v: m is at most the old u
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.write(large, f"{name}{k}large")
+        down = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}{k}down")
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(small, f"{name}{k}")
         seen = _mark(new)
-        scratch.drop(f"{name}{k - 1}")
+        scratch.drop(f"{name}{k - 1}", f"{name}{k}least", f"{name}{k}large", f"{name}{k}down")
         now = new
         if seen == mark:
             return now.select("u", F.col("v").alias("root"))

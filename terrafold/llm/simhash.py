@@ -143,11 +143,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text",
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = stars(links(nodes.select("fp"), scratch), scratch)
     rooted = nodes.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.write(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    # Only a node that has links needs its class looked up: it is a small part of the rows.
-    named = rooted.join(best.filter("n > 1").select("root", "component_id"), "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Only classes of several nodes need looking up; as a table of their own, so that a large class's rows can be split.
+    best = scratch.write(best.filter("n > 1").select("root", "component_id"), "best")
+    named = rooted.join(best, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     named = scratch.write(named, "named")
-    scratch.drop("large")
+    scratch.drop("large", "rooted", "best")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
