@@ -14,7 +14,7 @@ every whole text in one pass, without a shuffle.
 Labels, language, source and id are never inputs of a score. Defined results: a null or empty text has no
 terms and the score of that; without training rows of both labels every score is the share of toxic ones (0
 without any); a null doc_id counts as the empty string when rows are held out; a document labelled twice is
-used once per label row; repeated rows each get a row; other columns pass no part; an empty table gives none.
+used once per label; of documents that share an id one is fitted on; repeated rows each get a row; other columns pass no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             ids, ys, texts = (b.column(b.schema.get_field_index(c)) for c in ("id", "y", "text"))
             yield pa.RecordBatch.from_arrays([ids, ys, pa.array([memo.of(x.as_py()) for x in texts], pa.list_(pa.int32()))], names=["id", "y", "places"])
 
-    rows = scratch.write(joined.mapInArrow(places, "id long, y int, places array<int>"), "rows")
+    # One row a label row: documents that share an id would else be without a bound (the smallest of their terms is taken).
+    rows = scratch.write(joined.mapInArrow(places, "id long, y int, places array<int>").groupBy("id", "y").agg(F.min("places").alias("places")), "rows")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, DIMS + 1), np.int64)
