@@ -1,6 +1,6 @@
 """Spatial join: grid cells, an equi-join on them, a box test, then the exact predicate.
 
-Both sides get boxes. One aggregation over the smaller extent sets the cell size so that a cell holds about one row
+Both sides get boxes. One aggregation over the left side sets the cell size so that a cell holds about one row
 of the left side; every row goes to the cells that its box covers, and rows meet in an equi-join on the cell, which Spark
 spreads over the cluster and splits where it is skewed. A pair is kept only in the cell of the lower left corner of its
 boxes' overlap, so no distinct is needed. A row that covers more than ``MAX_CELLS`` cells goes to a coarser grid instead: its
@@ -58,6 +58,16 @@ def _decided(pred: str, lk: str, rk: str, a: Column, b: Column) -> Column | None
     return None
 
 
+def _levels(size: int, cell: float) -> range:
+    """Levels that boxes between 2^(size-1) and 2^size wide can get."""
+    if size == -9999:
+        return range(1)
+    low, high = 2.0 ** (size - 1), 2.0**size
+    first = next((k for k in range(LEVELS) if low // (cell * 8.0**k) + 1 <= MAX_CELLS), LEVELS)
+    last = next((k for k in range(LEVELS) if (high // (cell * 8.0**k) + 2) ** 2 <= MAX_CELLS), LEVELS)
+    return range(first, last + 1)
+
+
 def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, right_geom: str, distance: float | None = None, how: str = "inner", cell: float | None = None) -> DataFrame:
     """Rows of both sides for which ``pred``(left geometry, right geometry) holds.
 
@@ -78,14 +88,15 @@ def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, r
     r0 = right.withColumn("tf_box", _box(right, right_geom)).filter(F.col("tf_box").isNotNull())
     if pred == "ST_DWithin":
         l0 = l0.withColumn("tf_box", native.box_expand(F.col("tf_box"), grow))
+    b = F.col("tf_box")
+    wide = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    # The binary orders of magnitude of box sizes; at most a few thousand numbers, mostly one to ten.
+    sizes = F.collect_set(F.when(wide > 0, F.ceil(F.log2(wide))).otherwise(F.lit(-9999)).cast("int"))
+    x = l0.agg(F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.count(F.lit(1)), F.avg(b["xmax"] - b["xmin"]), F.avg(b["ymax"] - b["ymin"]), sizes).first()
+    found = set(x[7]) | ({-9999} if rk == "point" else set(r0.agg(sizes).first()[0]))
     if cell is None:
-        b = F.col("tf_box")
-        x = l0.agg(F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.count(F.lit(1)), F.avg(b["xmax"] - b["xmin"]), F.avg(b["ymax"] - b["ymin"])).first()
-        if not x[4]:
-            cell = 1.0
-        else:
-            side = max(x[1] - x[0], x[3] - x[2])
-            cell = max(side / max(1.0, x[4] ** 0.5), 2 * max(x[5], x[6]), 1e-12 * max(1.0, abs(x[0]), abs(x[1]), abs(x[2]), abs(x[3]))) or 1.0
+        side = max(x[1] - x[0], x[3] - x[2]) if x[4] else 1.0
+        cell = max(side / max(1.0, x[4] ** 0.5), 2 * max(x[5] or 0, x[6] or 0), 1e-12 * max(1.0, *(abs(v or 0) for v in x[:4])))
     width = F.pow(F.lit(8.0), F.col("tf_level")) * F.lit(float(cell))
 
     def at(field: str) -> Column:
@@ -93,14 +104,7 @@ def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, r
 
     n_cells = lambda w: (F.floor(F.col("tf_box.xmax") / w) - F.floor(F.col("tf_box.xmin") / w) + 1) * (F.floor(F.col("tf_box.ymax") / w) - F.floor(F.col("tf_box.ymin") / w) + 1)
     own = F.coalesce(*[F.when(n_cells(F.lit(cell * 8.0**k)) <= MAX_CELLS, F.lit(k)) for k in range(LEVELS)], F.lit(LEVELS))
-    if lk == "point" and pred != "ST_DWithin":
-        own = F.lit(0)
-    l1 = l0.withColumn("tf_level", own)
-    r_own = F.lit(0) if rk == "point" else own
-    levels = [0]
-    if not (lk == "point" and pred != "ST_DWithin") or rk != "point":
-        # Only levels that are in use are dealt; a dozen numbers.
-        levels = sorted({r[0] for d, o in ((l0, own), (r0, r_own)) for r in d.select(o.alias("k")).distinct().collect()}) or [0]
+    levels = sorted({k for e in found for k in _levels(e, cell)}) or [0]
 
     def dealt(d: DataFrame, level: Column) -> DataFrame:
         """Each row at its own level and, so that unequal levels meet, at every coarser level in use."""
@@ -108,7 +112,7 @@ def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, r
         d = d.withColumn("tf_cx", F.explode(F.sequence(at("xmin"), at("xmax"))))
         return d.withColumn("tf_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
 
-    a, b = dealt(l1.drop("tf_level"), own).alias("a"), dealt(r0, r_own).alias("b")
+    a, b = dealt(l0, own).alias("a"), dealt(r0, own).alias("b")
     on = (F.col("a.tf_level") == F.col("b.tf_level")) & (F.col("a.tf_cx") == F.col("b.tf_cx")) & (F.col("a.tf_cy") == F.col("b.tf_cy"))
     on &= F.col("a.tf_level") == F.greatest("a.tf_own", "b.tf_own")  # a pair meets at the coarser of its levels only
     p, q = F.col("a.tf_box"), F.col("b.tf_box")
