@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Pieces that one worker keeps (about 200 bytes each), half of them from before the last change of generation.
-MEMO = 1_000_000
+MEMO = 800_000
 
 _CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
