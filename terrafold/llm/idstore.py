@@ -87,12 +87,12 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _times(a: int, b: int) -> int:
     """Product of two polynomials over GF(2) modulo CRC-32's, bit-reversed as the checksum is."""
-    out, bit = 0, 1 << 31
-    while bit:
-        if a & bit:
+    out = 0
+    while a:
+        if a & 0x80000000:
             out ^= b
+        a = a << 1 & 0xFFFFFFFF
         b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
-        bit >>= 1
     return out
 
 
@@ -208,17 +208,21 @@ def digest(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            start, size, root, doc, lists = batch.columns
+            flat = lists.flatten()
+            ends = (np.asarray(lists.offsets) - lists.offsets[0].as_py()).tolist()
+            names, many, crcs = (flat.field(c).to_pylist() for c in (1, 2, 3))
             rows = []
-            for x in batch.to_pylist():
-                crc = n = 0
-                for p in x["parts"]:
-                    if p["n"] is None:
-                        raise ValueError(f"document {x['doc_id']}: a chunk is missing")
-                    crc = crc_join(crc, p["crc"], 4 * p["n"]) if n else p["crc"]
-                    n += p["n"]
-                if n != x["n_tokens"] or merkle([p["chunk_id"] for p in x["parts"]]) != x["root"]:
-                    raise ValueError(f"document {x['doc_id']} does not verify")
-                rows.append((x["doc_id"], x["start"], n, crc, len(x["parts"])))
+            for k, to, at, n_tokens, tree, name in zip(ends[:-1], ends[1:], start.to_pylist(), size.to_pylist(), root.to_pylist(), doc.to_pylist(), strict=True):
+                if None in many[k:to]:
+                    raise ValueError(f"document {name}: a chunk is missing")
+                crc, n = crcs[k], many[k]
+                for j in range(k + 1, to):
+                    crc = crc_join(crc, crcs[j], 4 * many[j])
+                    n += many[j]
+                if n != n_tokens or merkle(names[k:to]) != tree:
+                    raise ValueError(f"document {name} does not verify")
+                rows.append((name, at, n, crc, to - k))
             yield _batch(rows, schema)
 
     return docs.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
