@@ -259,26 +259,26 @@ def join_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir).filter("k <= 500").select("k", native.st_point(F.col("x"), F.col("y")).alias("at"))
+    p = parts(spark, sf_dir).select("k", native.st_point(F.col("x"), F.col("y")).alias("at"))
     return O.spatial_join(p, dots(spark, sf_dir), "ST_DWithin", "at", "pt", distance=5.0).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 def join_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = boxes(spark, sf_dir).filter("k <= 1000")
+    a = boxes(spark, sf_dir)
     return O.spatial_join(a, a.selectExpr("k AS k2", "box AS box2"), "ST_BBoxIntersects", "box", "box2").filter("k < k2").select("k", "k2")
 
 
 def join_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles (lower right halves of boxes) that contain an order: the exact test runs in Python."""
     register_all(spark)
-    t = parts(spark, sf_dir).filter("k <= 1000").selectExpr("k", f"ST_GeomFromText({w('POLYGON(({x} {y},{x+w} {y},{x+w} {y+w},{x} {y}))')}) AS shape")
+    t = parts(spark, sf_dir).selectExpr("k", f"ST_GeomFromText({w('POLYGON(({x} {y},{x+w} {y},{x+w} {y+w},{x} {y}))')}) AS shape")
     return O.spatial_join(t, dots(spark, sf_dir), "ST_Covers", "shape", "pt").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).filter("k <= 1000")
+    b = boxes(spark, sf_dir)
     spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("/tmp/terrafold-checkpoints")
-    found = O.spatial_join(b, dots(spark, sf_dir).filter("o % 97 = 0"), "ST_Intersects", "box", "pt", how="left")
+    found = O.spatial_join(b, dots(spark, sf_dir), "ST_Intersects", "box", "pt", how="left")
     return found.groupBy("k").agg(F.count("o").alias("n"))
 
 
@@ -291,10 +291,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "st_clusterkmeans": (st_cluster_kmeans, "SELECT p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_partkey % 3) AS first FROM part"),
     "st_clusterdbscan": (st_cluster_dbscan, "SELECT p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_partkey % 10) AS first FROM part"),
     "spatial_join_intersects": (join_contains, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n, CAST(sum(o) AS BIGINT) AS total FROM p JOIN o ON {IN_BOX} GROUP BY k"),
-    "spatial_join_dwithin": (join_dwithin, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON k <= 500 AND (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 25 GROUP BY k"),
-    "spatial_join_bboxintersects": (join_boxes, f"WITH p AS ({BASE}) SELECT a.k, b.k AS k2 FROM p a JOIN p b ON a.k < b.k AND b.k <= 1000 AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.w AND b.y <= a.y + a.w"),
-    "spatial_join_covers": (join_exact, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON k <= 1000 AND {IN_BOX} AND oy - y <= ox - x GROUP BY k"),
-    "spatial_join_left": (join_left, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(o) AS n FROM p LEFT JOIN o ON o % 97 = 0 AND {IN_BOX} WHERE k <= 1000 GROUP BY k"),
+    "spatial_join_dwithin": (join_dwithin, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 25 GROUP BY k"),
+    "spatial_join_bboxintersects": (join_boxes, f"WITH p AS ({BASE}) SELECT a.k, b.k AS k2 FROM p a JOIN p b ON a.k < b.k AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.w AND b.y <= a.y + a.w"),
+    "spatial_join_covers": (join_exact, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON {IN_BOX} AND oy - y <= ox - x GROUP BY k"),
+    "spatial_join_left": (join_left, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(o) AS n FROM p LEFT JOIN o ON {IN_BOX} GROUP BY k"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _case(e) for name, e, _ in CASES} | {name: q for name, (q, _) in OTHERS.items()}
