@@ -1,16 +1,16 @@
 """Quality rules with cross-document line frequency.
 
 One pass over whole texts takes the base measures and, per document, the hashes of its normalised lines (lower
-case, single spaces) with their words. A line is above the limits of its host if at least ``MIN_DOCS``
-documents and more than ``MAX_RATIO`` of the host's documents hold it. Such lines are removed; a document of
-whose words less than ``MIN_LEFT`` are left is depleted and rejected.
+case, single spaces) with their words. A line is above the limits of its host if at least ``MIN_DOCS`` different
+texts hold it and their number is more than ``MAX_RATIO`` of the host's documents: a text counts once a host, however
+often it is copied, so copies alone put no line above the limits. Such lines are removed; a document of whose words less than
+``MIN_LEFT`` are left is depleted and rejected.
 
-Document counts per (host, line) are combined on the map side, so a line that a third of all documents share
-sends one row a task; the few lines above the limits (at most lines per document / MAX_RATIO of a host) meet the
+Copies of a text are merged per (host, line, text) and the counts per (host, line) combined on the map side; the few lines above the limits (at most lines per document / MAX_RATIO of a host) meet the
 documents' lines in a join on host and hash that Spark splits where it is skewed.
 
-Defined results: a null text has no words and fails; a null source is a host of its own; repeated rows count as
-documents and each get a row; blank lines are no lines; other columns play no part; an empty table gives none.
+Defined results: a null text has no words and fails; a null source is a host of its own; repeated rows are one
+text and each get a row; blank lines are no lines; other columns play no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, col
 
 MIN_DOCS = 20
-MAX_RATIO = 0.15
+#: The ratio above which op9 calls a line boilerplate.
+MAX_RATIO = 0.01
 MIN_LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
@@ -51,11 +52,11 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
-    """Per document: doc_id, host, the base measures, base_failed and lines (hash, words)."""
+    """Per document: doc_id, host, the base measures, base_failed, lines (hash, words) and the text's hash (null: no text)."""
     from xxhash import xxh64_intdigest
 
     line = pa.struct([("h", pa.int64()), ("w", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", pa.bool_()), ("lines", pa.list_(line))])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", pa.bool_()), ("lines", pa.list_(line)), ("own", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,13 +73,14 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
                         seen.add(own)
                         h = xxh64_intdigest(b" ".join(parts).lower(), 42)
                         lines[h] = lines.get(h, 0) + len(parts)
-                hashed = [{"h": h - (1 << 64) if h >> 63 else h, "w": w} for h, w in lines.items()]
-                rows.append((doc, site, n, len(text) - sum(map(text.count, _SPACE)), sum(map(text.count, SYMBOLS)), dup, again, n < 50 or 100 * again > 50 * n, hashed))
+                signed = lambda h: h - (1 << 64) if h >> 63 else h
+                hashed = [{"h": signed(h), "w": w} for h, w in lines.items()]
+                rows.append((doc, site, n, len(text) - sum(map(text.count, _SPACE)), sum(map(text.count, SYMBOLS)), dup, again, n < 50 or 100 * again > 50 * n, hashed, signed(xxh64_intdigest(raw, 42)) if x.is_valid else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     slim = docs.select(col(key).cast("long").alias("doc_id"), col(host).cast("string").alias("host"), col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<h:long,w:int>>")
+    return slim.mapInArrow(run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<h:long,w:int>>, own long")
 
 
 def rate(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", min_docs: int = MIN_DOCS, max_ratio: float = MAX_RATIO, min_left: float = MIN_LEFT) -> DataFrame:
@@ -86,8 +88,8 @@ def rate(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "
     scratch = Scratch(docs.sparkSession)
     # A row's number is only ever read from the written table, where it is fixed.
     rows = scratch.write(measures(docs, text, key, host).withColumn("row", F.monotonically_increasing_id()), "measures")
-    lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.h", "l.w")
-    often = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).alias("o")
+    lines = rows.select("row", "host", "own", F.explode("lines").alias("l")).select("row", "host", "own", "l.h", "l.w")
+    often = lines.select("host", "h", "own").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).alias("o")
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("total")).alias("t")
     above = often.join(totals, F.col("o.host").eqNullSafe(F.col("t.host"))).filter(F.col("n") > F.lit(max_ratio) * F.col("total")).select("o.host", "h")
     above = scratch.write(above, "above").alias("a")
