@@ -74,7 +74,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate on their source."""
     docs = tables(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return linedup.drop_boilerplate(docs, n_lines="n_lines", n_dropped="n_dropped")
+    return linedup.clean(docs, n_lines="n_lines", n_dropped="n_dropped")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from terrafold.llm import quality
+from terrafold.llm import linedup, quality
 
 from .conftest import DOCS
 
@@ -27,3 +27,9 @@ def test_quality_finds_boilerplate(big):
     found = {r.doc_id: r for r in quality.rate(big).collect()}
     assert all(found[i].n_removed_words == (4 if i < 60 else 0) for i in found)
     assert all(found[i].kept for i in range(60, 600))
+
+
+def test_every_page_loses_boilerplate(big):
+    found = {r.doc_id: r for r in linedup.clean(big, n_lines="n_lines", n_dropped="n_dropped").collect()}
+    assert found[59].text == "own line" and found[0].text == body(0)
+    assert all(r.n_dropped == (2 if i < 60 else 0) for i, r in found.items())
