@@ -26,7 +26,8 @@ from .common import BROADCAST_BYTES, Scratch, col, free_name
 
 #: Production parameters.
 MAX_RATIO = 0.01
-MIN_PAGES = 20
+#: What makes a line repeated at all; the ratio decides on every host of 300 pages or more.
+MIN_PAGES = 3
 #: Default of ``drop_boilerplate`` only.
 MAX_SHARE = 0.5
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, col
 
-MIN_DOCS = 20
+#: What makes a line repeated at all; the ratio decides on every host of 300 documents or more.
+MIN_DOCS = 3
 #: The ratio above which op9 calls a line boilerplate.
 MAX_RATIO = 0.01
 MIN_LEFT = 0.5
