@@ -13,7 +13,8 @@ Files below one folder, all Parquet:
 ``write`` encodes each text once into a staging table in the shared folder. ``read_ids`` joins chunks back into
 id streams; ``digest`` verifies the store without moving payloads: each chunk is read where it lies, its
 SHA-256 compared with its name and its CRC-32 taken; a document's CRC-32 is combined from those of its chunks,
-and its Merkle root recomputed. A chunk, document or shard that doesn't verify raises an error.
+and its Merkle root recomputed; before that, each shard's counts, starts and Merkle root are recomputed from its recipes
+and compared with the manifest. A chunk, document or shard that doesn't verify raises an error.
 
 Defined results: a null or empty text is the end id alone; documents with the same doc_id keep their own
 recipes, ordered by their Merkle root; an empty table gives an empty store; other columns play no part.
@@ -169,12 +170,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
     ordered.mapInArrow(number, "shard int, doc_id long, local_start long, n_tokens long, root binary, chunk_ids array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
     scratch.drop("staged")
 
+    _shards(spark, path).write.parquet(f"{path}/manifest")
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest that the stored recipes give."""
     recipes = spark.read.parquet(f"{path}/recipes")
     tree = F.udf(lambda leaves: merkle([bytes(x) for x in leaves]), "binary")
     shards = recipes.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("local_start", "root"))).alias("leaves"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     shards = shards.select("shard", "n_docs", "n_tokens", tree(F.transform("leaves", lambda x: x["root"])).alias("root"))
-    shards.select("shard", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "root").write.parquet(f"{path}/manifest")
+    return shards.select("shard", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "root")
+
+
+def verify_shards(spark: SparkSession, path: str) -> None:
+    """Raises if a shard's manifest row isn't what its recipes give, or its documents don't follow on."""
+    kept, found = (d.select("shard", F.struct("n_docs", "n_tokens", "start", F.hex("root").alias("root")).alias(n)) for d, n in ((spark.read.parquet(f"{path}/manifest"), "kept"), (_shards(spark, path), "found")))
+    wrong = kept.join(found, "shard", "full").filter(~F.col("kept").eqNullSafe(F.col("found"))).select("shard")
+    before = Window.partitionBy("shard").orderBy("local_start", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)  # every document has an id at least
+    own = spark.read.parquet(f"{path}/recipes").select("shard", "local_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("at"))
+    bad = wrong.unionByName(own.filter("local_start <> at").select("shard")).agg(F.min("shard")).first()[0]
+    if bad is not None:
+        raise ValueError(f"shard {bad} does not verify")
 
 
 def _chunk_facts(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -201,6 +218,7 @@ def _located(spark: SparkSession, path: str) -> DataFrame:
 
 def digest(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """Per stored document, verified: doc_id, start, n_tokens, ids_crc32, n_chunks."""
+    verify_shards(spark, path)
     parts = _located(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
     joined = parts.join(_chunk_facts(spark, path, width), "chunk_id", "left")
     docs = joined.groupBy("start", "n_tokens", "root", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "n", "crc"))).alias("parts"))
