@@ -69,6 +69,18 @@ class Scratch:
             pass
 
 
+def small_side(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Null-safe semi or anti join with keys of a written table: broadcast if they are few (their size is measured), else shuffled."""
+    on = [on] if isinstance(on, str) else on
+    a, b = left.alias("a"), right.alias("b")
+    if right.count() * 32 * len(on) <= BROADCAST_BYTES:
+        b = F.broadcast(b)
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"a.{ident(c)}").eqNullSafe(F.col(f"b.{ident(c)}"))
+    return a.join(b, same, how).select(*[F.col(f"a.{ident(c)}") for c in left.columns])
+
+
 def free_name(df: DataFrame, base: str, *more: DataFrame) -> str:
     """A column name that no given DataFrame has (Spark compares without case)."""
     taken = {c.lower() for d in (df, *more) for c in d.columns}

@@ -1,22 +1,33 @@
 """SimHash near-duplicates, found by pigeonring filtering.
 
-A text's fingerprint has a bit for each of 64: set if more than half of its word-shingle hashes (XXH64, seed
-42) have it set. Fingerprints at ``LIMIT`` = 4 or fewer differing bits are linked; linked texts form classes.
+A text's fingerprint has a bit for each of 64 (or several times 64): set if more than half of its word-shingle hashes
+(XXH64, seed 42; further words by mixing them) have it set. Two rules link fingerprints, and linked texts form classes.
 
-Candidates: the 64 bits are a ring of five segments. If two fingerprints differ in at most 4 bits then (cycle
-lemma) from some segment on, every chain of l consecutive segments differs in at most floor(4 l / 5) bits:
-0, 1, 2, 3, 4. The first segment is then equal, and of the next, with at most one difference, one half is
-equal: the join key is (segment, half, their bits), ten keys a fingerprint. Within a key the whole chain
-condition is applied before the Hamming check.
+``near_duplicates`` (op2): 64 bits of four-word shingles, linked at ``LIMIT`` = 4 or fewer differing bits. The bits are a
+ring of five segments. If two fingerprints differ in at most 4 bits then (cycle lemma) from some segment on, every chain
+of l consecutive segments differs in at most floor(4 l / 5) bits: 0, 1, 2, 3, 4. The first segment is then equal, of
+the next, with at most one difference, one half, of the third a third and of the fourth a quarter: the join key is
+(segment, parts, their bits). Keys lengthen with the corpus (``depth``): 19 bits of two segments, 23 of three or 26 of
+four. Within a key the whole chain condition is applied before the Hamming check. No link is lost.
+
+``near_copies`` (the pipeline's stage): texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Such
+texts differ in about 15 % of their bits, too many for equal segments to be certain in 64 bits, so the fingerprint has
+``WIDE`` = 512 bits in a ring of 32 segments. Texts meet where a segment is equal, the chain from there must keep budgets
+proportional to ``FAR`` = 102 bits, then the full distance. Pairs within 31 bits are always found; one at distance d is
+missed with probability (1 - (1 - d/512)^16)^32: 2 % at 64 bits, 7 % at 73, the usual distance at a similarity of 0.8. Up to
+``SURE`` bits (over three deviations below the distance that a similarity of 0.8 gives) a pair is a link; beyond, the shingle
+sets of both texts are compared.
 
 Equal fingerprints are one node, so copies cost one aggregation. A key with more than ``BLOCK`` fingerprints is
-split into blocks and each pair of blocks is a group of its own. A group gives a spanning forest of its links,
-at most one edge per fingerprint, never all pairs; the forests' union has the same components as all links.
+split into blocks and each pair of blocks is a group of its own. A group gives at most one edge per
+fingerprint, never all pairs: a spanning forest of its links (op2), or the shortest edges that span them (near copies).
 Components come from alternating stars over written tables. Fingerprints are never collected.
 
 Defined results: a null or empty text and one without words have fingerprint zero, linked like any other;
 fewer words than a shingle are one shingle; repeated rows each get their row; rows with a null doc_id take part
 and get the smallest id of their class (null if it has none); other columns pass through; an empty table gives none.
+``keep_first`` keeps one row of each class: the smallest id (null ids last), of rows that share it the one with the smallest
+text digest, of rows that share both the one with the smallest row hash.
 """
 
 from __future__ import annotations
@@ -28,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col
+from .common import Scratch, col, free_name, small_side
 from .components import stars
 
 SHINGLE = 4
@@ -38,25 +49,55 @@ LIMIT = 4
 BLOCK = 4096
 #: (first bit, bits) of the ring's segments.
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-HALF = 6
+KEY_BITS = 40
 
+#: Near copies: words of a shingle, least Jaccard similarity, and the wide fingerprint.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE, SEGMENTS = 512, 32
+#: Bits within which a pair is a link, and beyond which it is none.
+SURE, FAR = 51, 102
+#: Groups up to this size are compared pair by pair at once.
+SMALL = 256
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of one text."""
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` lower-cased words, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     flat = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    hashes = [xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    set_ = np.add.reduce(bits, axis=0, dtype=np.uint32) * 2 > n
-    return int(np.packbits(set_, bitorder="little").view("<u8")[0])
+    return np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Word k of the wide hashes: for 0 the hashes themselves."""
+    if not k:
+        return h
+    x = (h ^ (h >> np.uint64(32))) * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def majority(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
+    """The fingerprint of some shingle hashes, as unsigned 64-bit words."""
+    sums = np.zeros(64 * n_words, np.int64)
+    for at in range(0, len(hashes), 1 << 13):  # what is held doesn't grow with the text
+        part = hashes[at : at + (1 << 13)]
+        raw = np.stack([_mixed(part, k) for k in range(n_words)], 1).view(np.uint8)
+        sums += np.add.reduce(np.unpackbits(raw, axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    return np.packbits(sums * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of one text."""
+    return int(majority(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -70,15 +111,39 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", ke
     return docs.select(col(key).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _keys():
-    """The ten join keys of a fingerprint."""
+def _parts(at: int, n: int, k: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of k near-equal parts of a segment."""
+    cuts = [at + n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def key_parts(depth: int) -> list[list[tuple[int, int]]]:
+    """Per key the (first bit, bits) of what it holds: a segment, then a part of each of the next ``depth`` - 1.
+
+    The l-th segment of a chain that keeps its budgets has at most l - 1 differences, so one of l parts is equal.
+    """
+    out = []
+    for i in range(len(RING)):
+        own = [[RING[i]]]
+        for length in range(2, depth + 1):
+            own = [[*k, p] for k in own for p in _parts(*RING[(i + length - 1) % len(RING)], length)]
+        out += own
+    return out
+
+
+def depth_for(n: int) -> int:
+    """How many segments a key covers: 2 up to 4 million fingerprints, 3 up to 64 million, else 4."""
+    return 2 if n <= 1 << 22 else 3 if n <= 1 << 26 else 4
+
+
+def _keys(depth: int):
+    """The join keys of a fingerprint: the key's number above ``KEY_BITS``, its bits below."""
     out = []
-    for i, (at, n) in enumerate(RING):
-        own = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-        next_at, next_n = RING[(i + 1) % len(RING)]
-        for half, (a, m) in enumerate(((next_at, HALF), (next_at + HALF, next_n - HALF))):
-            part = F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << m) - 1).cast("long"))
-            out.append(F.shiftleft(F.lit(2 * i + half).cast("long"), 40).bitwiseOR(F.shiftleft(own, 20)).bitwiseOR(part))
+    for number, parts in enumerate(key_parts(depth)):
+        key = F.lit(number).cast("long")
+        for at, n in parts:
+            key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1).cast("long")))
+        out.append(F.shiftleft(key, KEY_BITS - sum(n for _, n in parts)))
     return F.array(*out)
 
 
@@ -107,13 +172,20 @@ def forest(fps: np.ndarray, segment: int, limit: int = LIMIT) -> list[tuple[int,
     return edges
 
 
-def links(nodes: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(u, v): a spanning set of the links between different fingerprints (column fp)."""
-    keyed = nodes.select("fp", F.explode(_keys()).alias("k"))
-    large = scratch.write(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
-    dealt = keyed.join(large, "k", "left").select("fp", "k", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("fp", "k", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    groups = dealt.groupBy("k", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("k", "fps")
+def _dealt(keyed: DataFrame, scratch: Scratch, block: int, name: str, *values: str) -> DataFrame:
+    """Groups (k, list of ``values``): each key's rows, or each pair of blocks of a key of more than ``block`` rows."""
+    large = scratch.write(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks")), name)
+    dealt = keyed.join(large, "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(values[0]), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    what = values[0] if len(values) == 1 else F.struct(*values)
+    return dealt.groupBy("k", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list(what).alias("rows")).filter(F.size("rows") > 1).select("k", "rows")
+
+
+def links(nodes: DataFrame, scratch: Scratch, block: int = BLOCK, depth: int | None = None) -> DataFrame:
+    """(u, v): a spanning set of the links between different fingerprints (column fp of a written table)."""
+    depth = depth or depth_for(nodes.count())
+    per_segment = len(key_parts(depth)) // len(RING)
+    groups = _dealt(nodes.select("fp", F.explode(_keys(depth)).alias("k")), scratch, block, "large", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +193,7 @@ def links(nodes: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
             flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             out: list[tuple[int, int]] = []
             for k, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                segment = (k >> 40) // 2
+                segment = (k >> KEY_BITS) // per_segment
                 if b - a == 2:
                     x, y = int(flat[a]), int(flat[a + 1])
                     apart = x ^ y
@@ -140,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text",
     """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.write(fingerprints(docs, shingle, text, key), "fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = stars(links(nodes.select("fp"), scratch), scratch)
     rooted = nodes.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
@@ -149,12 +221,195 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text",
     best = scratch.write(best.filter("n > 1").select("root", "component_id"), "best")
     named = rooted.join(best, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     named = scratch.write(named, "named")
-    scratch.drop("large", "rooted", "best")
+    scratch.drop("large", "nodes", "rooted", "best")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest id. Rows with a null id stay."""
-    firsts = near_duplicates(docs, shingle, text, key).select(F.col("component_id").alias("tf_first")).filter("tf_first IS NOT NULL").distinct()
-    named = docs.filter(col(key).isNotNull()).join(firsts, col(key) == F.col("tf_first"), "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(col(key).isNull()))
+def _budgets() -> np.ndarray:
+    """Most differing bits of chains of 4, 8, ... segments."""
+    return np.arange(1, WIDE // 64 + 1) * 4 * FAR // SEGMENTS
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose chains keep all budgets, and their distances; both are fingerprints turned to where the chain starts."""
+    rows, total = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for word, budget in enumerate(_budgets()):
+        total = total + np.bitwise_count(x[rows, word] ^ y[rows, word])
+        ok = total <= budget
+        rows, total = rows[ok], total[ok]
+        if not len(rows):
+            break
+    return rows, total
+
+
+def shortest(fps: np.ndarray, pairs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (distance, i, j) the shortest that span what all of them connect."""
+    root: dict[int, int] = {}
+
+    def find(a: int) -> int:
+        while root.setdefault(a, a) != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    out = []
+    for d, i, j in sorted(pairs):
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            out.append((d, i, j))
+    return out
+
+
+def _large_group(fps: np.ndarray) -> list[tuple[int, int, int]]:
+    """(distance, i, j) for one large group: a forest of its sure links, then each node's nearest outside its tree."""
+    n, edges = len(fps), []
+    tree, left = np.full(n, -1), np.arange(n)
+    while len(left):
+        top, left = int(left[0]), left[1:]
+        tree[top], frontier = top, [top]
+        while frontier and len(left):
+            at = frontier.pop()
+            apart = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype=np.int64)
+            hit = apart <= SURE
+            if hit.any():
+                edges += [(int(d), at, int(j)) for d, j in zip(apart[hit], left[hit], strict=True)]
+                tree[left[hit]] = top
+                frontier += left[hit].tolist()
+                left = left[~hit]
+    biggest = np.bincount(tree).argmax()
+    for at in np.flatnonzero(tree != biggest).tolist():
+        others = np.flatnonzero(tree != tree[at])
+        rows, total = _apart(np.broadcast_to(fps[at], (len(others), fps.shape[1])), fps[others])
+        if len(rows):
+            k = int(total.argmin())
+            edges.append((int(total[k]), at, int(others[rows[k]])))
+    return edges
+
+
+def group_edges(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, segments: np.ndarray) -> list[tuple[int, int, int]]:
+    """(node, node, distance) of the candidate links of some groups that lie one after another."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    turn = (segments[group][:, None] + np.arange(SEGMENTS)) % SEGMENTS
+    turned = np.ascontiguousarray(np.take_along_axis(fps.view("<u2"), turn, 1)).view("<u8")
+    ends = np.cumsum(sizes)
+    last, found = (ends - 1)[group], []
+    small = sizes[group] <= SMALL
+    for step in range(1, int(min(sizes.max(initial=0), SMALL))):
+        i = np.flatnonzero(small & (np.arange(len(group)) + step <= last))
+        if not len(i):
+            break
+        rows, total = _apart(turned[i], turned[i + step])
+        found += list(zip(group[i[rows]].tolist(), total.tolist(), i[rows].tolist(), (i[rows] + step).tolist(), strict=True))
+    found.sort()
+    out, at = [], 0
+    while at < len(found):
+        to = at
+        while to < len(found) and found[to][0] == found[at][0]:
+            to += 1
+        out += shortest(turned, [x[1:] for x in found[at:to]])
+        at = to
+    for g in np.flatnonzero(sizes > SMALL).tolist():
+        first = int(ends[g] - sizes[g])
+        out += [(d, first + i, first + j) for d, i, j in _large_group(turned[first : ends[g]])]
+    return [(int(nodes[i]), int(nodes[j]), d) for d, i, j in out]
+
+
+def _wide(docs: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """(doc_id, text_key, fp) with fp as 64 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [majority(shingle_hashes(x.as_py(), shingle), WIDE // 64).tobytes() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_key", "fp"])
+
+    slim = docs.select(col(key).cast("long").alias("doc_id"), _text_key(text).alias("text_key"), col(text).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, text_key long, fp binary")
+
+
+def _text_key(text: str):
+    """A text's digest; null and empty texts share one."""
+    return F.xxhash64(F.coalesce(col(text), F.lit("")))
+
+
+def _candidates(nodes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """(u, v, apart) between node numbers, u < v."""
+    bits = [F.shiftleft(F.lit(k).cast("long"), 16).bitwiseOR(F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("long")) for k in range(SEGMENTS)]
+    groups = _dealt(nodes.select("node", "fp", F.explode(F.array(*bits)).alias("k")), scratch, block, "large", "node", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            fps = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u8").reshape(-1, WIDE // 64)
+            found = group_edges(np.asarray(flat.field(0)), fps, sizes, np.asarray(batch.column(0)) >> 16)
+            if found:
+                u, v, d = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["u", "v", "apart"])
+
+    return groups.mapInArrow(run, "u long, v long, apart long").distinct()
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, similarity: float, text: str) -> DataFrame:
+    """Those (u, v) of ``pairs`` whose shingle sets are as similar as asked for. Only texts of such pairs are read again."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    some = scratch.write(nodes.select("node", "text_key").join(ends, "node"), "borderline")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(keys: list, sets: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "hashes"])
+
+        for b in batches:
+            keys, sets, held = [], [], 0
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys.append(k)
+                sets.append(np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64))
+                held += len(sets[-1])
+                if held > 1 << 18:
+                    yield batch(keys, sets)
+                    keys, sets, held = [], [], 0
+            if keys:
+                yield batch(keys, sets)
+
+    slim = docs.select(_text_key(text).alias("text_key"), col(text).alias("text"))
+    sets = small_side(slim, some.select("text_key"), "text_key", "left_semi").mapInArrow(run, "text_key long, hashes array<long>").dropDuplicates(["text_key"])
+    sets = scratch.write(sets.join(some, "text_key").select("node", "hashes"), "sets")
+    a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_set")) for n in ("u", "v"))
+    both = pairs.select("u", "v").join(a, "u").join(b, "v")
+    same = F.size(F.array_intersect("u_set", "v_set"))
+    return both.filter(same >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - same)).select("u", "v")
+
+
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, text_key and class (a number), by Jaccard similarity of shingle sets."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = scratch.write(_wide(docs, shingle, text, key), "wide")
+    # A node's number is only ever read from the written table, where it is fixed.
+    nodes = scratch.write(rows.groupBy("fp").agg(F.min("text_key").alias("text_key")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = scratch.write(_candidates(nodes, scratch, block), "candidates")
+    close = _similar(docs, found.filter(F.col("apart") > SURE), nodes, scratch, shingle, similarity, text)
+    roots = stars(found.filter(F.col("apart") <= SURE).select("u", "v").unionByName(close), scratch)
+    named = scratch.write(nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("root", "node").alias("class")), "named")
+    return rows.join(named, "fp").select("doc_id", "text_key", "class")
+
+
+def keep_first(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of near copies."""
+    scratch = Scratch(docs.sparkSession)
+    named = scratch.write(near_copies(docs, shingle, similarity, text, key, scratch=scratch).groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    firsts = scratch.write(named.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("class", "first"), "firsts")
+    gone = named.join(firsts, "class").filter(order != F.col("first")).select("doc_id", "text_key")
+    again = named.join(firsts, "class", "left").filter(F.col("first").isNull() | (order == F.col("first"))).filter("n > 1").select("doc_id", "text_key")
+    id_name, text_name, n = (free_name(docs, f"tf_{x}") for x in ("id", "text_key", "n"))
+    out = scratch.write(gone.withColumn("n", F.lit(0)).unionByName(again.withColumn("n", F.lit(1))).toDF(id_name, text_name, n), "gone")
+    scratch.drop("large", "nodes", "candidates", "borderline", "sets", "firsts", "named", "wide")
+    marked = docs.withColumn(text_name, _text_key(text)).withColumn(id_name, col(key).cast("long"))
+    left = small_side(marked, out.drop(n), [id_name, text_name], "left_anti").select(*map(col, docs.columns))
+    if not out.filter(col(n) == 1).head(1):
+        return left
+    # Rows that share id and text: one of them stays, whatever their other columns.
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    twins = small_side(marked, out.filter(col(n) == 1).drop(n), [id_name, text_name], "left_semi")
+    one = twins.groupBy(col(id_name), col(text_name)).agg(F.min_by(F.struct(*map(col, docs.columns)), F.xxhash64(*map(col, plain))).alias("row"))
+    return left.unionByName(one.select("row.*"))
