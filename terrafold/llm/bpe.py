@@ -1,13 +1,16 @@
-"""Whole texts to token ids with the tokenizers library, each different word encoded once per Python worker.
-
-Both public BPE files split a text before they merge, and a run of blanks or line feeds that follows another
-character always begins a new piece. So a text may be cut there, each piece encoded alone and the ids joined:
-the library sees every different piece, and the join is a dictionary lookup. Texts with other white space
-(where that rule has exceptions) go to the library as a whole.
+"""Whole texts to token ids, equal to the tokenizers library's encode(text, add_special_tokens=False) on the whole text.
+
+Not every text goes through that call. Both public BPE files split a text before they merge, and a run of blanks or line
+feeds that follows another character always begins a new piece. So a text may be cut there: each different piece is
+encoded once per Python worker (plain words by the library's BPE model alone, all else by the whole call) and the ids are
+joined by a dictionary lookup. Whole texts go to the library where this rule doesn't hold: texts with other white space or with
+an added token's string (which then is that token, as the library has it), and every text of a tokenizer file whose
+normaliser, pre-tokeniser or model settings aren't those of the two files.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -19,6 +22,18 @@ _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
+#: The settings under which texts may be cut, as tokenizer files write them.
+_BYTES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
+_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "</w>",
+)
+_NO_OTHER = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
 def _byte_letters() -> dict[int, int]:
     """The letters by which byte-level BPE files write the 256 bytes: printable ones stand for themselves, the rest follow from 256."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -34,11 +49,17 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
-        self.words = getattr(self.model, "end_of_word_suffix", None) == "</w>"
         self.letters = _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, added = said["model"], said.get("added_tokens") or []
+        kind = (said.get("normalizer"), said.get("pre_tokenizer"), model.get("end_of_word_suffix"))
+        self.words = kind == _WORDS
+        plain = not any(model.get(k) for k in _NO_OTHER) and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        self.cuts = kind in (_BYTES, _WORDS) and model.get("type") == "BPE" and plain and not said.get("post_processor") and not said.get("truncation")
+        self.added = [t["content"] for t in added]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,6 +100,8 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.cuts or any(t in text for t in self.added):
+            return self.whole(text)
         if self.words:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         if not text.replace("\n", "").isprintable() and _OTHER_SPACE.search(text):

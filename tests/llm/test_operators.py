@@ -24,11 +24,9 @@ def lower(t):
 def ids(name, text):
     from tokenizers import Tokenizer
 
-    key = name
-    if key not in ids.kept:
-        ids.kept[key] = Tokenizer.from_file(P.path(name))
-        ids.kept[key].encode_special_tokens = True
-    return ids.kept[key].encode(text or "", add_special_tokens=False).ids
+    if name not in ids.kept:
+        ids.kept[name] = Tokenizer.from_file(P.path(name))
+    return ids.kept[name].encode(text or "", add_special_tokens=False).ids
 
 
 ids.kept = {}
