@@ -7,14 +7,16 @@ Files below one folder, all Parquet:
   give equal chunks wherever they stand; each different chunk is stored once.
 * ``recipes``: per document, in ascending doc_id order (nulls first): shard, doc_id, local_start (ids before it in
   its shard), n_tokens, chunk_ids, root (Merkle root over its chunk ids).
-* ``manifest``: per shard: n_docs, n_tokens, start (ids in all earlier shards) and the Merkle root over its
-  documents' roots.
+* ``manifest``: per shard of at most ``SHARD_DOCS`` documents: n_docs, n_tokens, start (ids in all earlier shards) and the
+  Merkle root over its documents' roots.
+* ``summary``: one row: n_shards, n_docs, n_tokens and the Merkle root over the shards' roots.
 
 ``write`` encodes each text once into a staging table in the shared folder. ``read_ids`` joins chunks back into
 id streams; ``digest`` verifies the store without moving payloads: each chunk is read where it lies, its
 SHA-256 compared with its name and its CRC-32 taken; a document's CRC-32 is combined from those of its chunks,
 and its Merkle root recomputed; before that, each shard's counts, starts and Merkle root are recomputed from its recipes
-and compared with the manifest. A chunk, document or shard that doesn't verify raises an error.
+and compared with the manifest both ways, and the summary from the manifest. A chunk, document, shard or summary that
+doesn't verify raises an error, a lost one too.
 
 Defined results: a null or empty text is the end id alone; documents with the same doc_id keep their own
 recipes, ordered by their Merkle root; an empty table gives an empty store; other columns play no part.
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, col
+from .common import BROADCAST_BYTES, Scratch, col
 
 END_ID = 2
 #: A cut where the rolling hash has these bits clear: one in 512 ids; chunks of 64 to 4096 ids.
 CUT_MASK = np.uint64(511 << 40)
 MIN_CHUNK, MAX_CHUNK, WINDOW = 64, 4096, 16
+#: Most documents of a shard, whose roots one task brings together (32 bytes each).
+SHARD_DOCS = 1 << 16
 
 
 def _gear(n: int = 1 << 16) -> np.ndarray:
@@ -143,7 +147,7 @@ def staged(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str,
     return docs.select(col(key).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(cut, "doc_id long, n_tokens long, root binary, chunk_ids array<binary>, payloads array<binary>")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2, text: str = "text", key: str = "doc_id") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2, text: str = "text", key: str = "doc_id", shard_docs: int = SHARD_DOCS) -> None:
     """Writes the store; ``path`` must be new, in a folder that all executors share."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -153,38 +157,57 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
     once.select("chunk_id", (F.octet_length("payload") / width).cast("long").alias("n_ids"), "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunk_ids", pa.list_(pa.binary()))])
+    schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunk_ids", pa.list_(pa.binary()))])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, at = TaskContext.get().partitionId(), 0
+        seen, at, base = 0, 0, 0
         for b in batches:
-            sizes = np.asarray(b.column(1))
-            starts = at + np.cumsum(sizes) - sizes
-            at += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), shard, np.int32)), b.column(0), pa.array(starts), b.column(1), b.column(2), b.column(3)], schema=schema)
+            sizes, own = np.asarray(b.column(1)), seen + np.arange(b.num_rows)
+            before = at + np.cumsum(sizes) - sizes
+            shard = (TaskContext.get().partitionId() << 32) + own // shard_docs
+            first = np.maximum.accumulate(np.where(own % shard_docs == 0, before, base))
+            seen, at, base = seen + len(own), at + int(sizes.sum()), int(first[-1]) if len(own) else base
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array(before - first), b.column(1), b.column(2), b.column(3)], schema=schema)
 
     order = [F.col("doc_id").asc_nulls_first(), "root"]
     ordered = stage.select("doc_id", "n_tokens", "root", "chunk_ids").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(number, "shard int, doc_id long, local_start long, n_tokens long, root binary, chunk_ids array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ordered.mapInArrow(number, "shard long, doc_id long, local_start long, n_tokens long, root binary, chunk_ids array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
     scratch.drop("staged")
 
     _shards(spark, path).write.parquet(f"{path}/manifest")
+    _summary(spark, path).write.parquet(f"{path}/summary")
+
+
+def _trees(df: DataFrame) -> DataFrame:
+    """``df`` with its last column, an array of (place, root), as the Merkle root over those roots in order."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", root binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roots = [merkle([x["root"] for x in sorted(own.as_py(), key=lambda x: x["at"])]) for own in b.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(roots, pa.binary())], names=[*b.schema.names[:-1], "root"])
+
+    return df.mapInArrow(run, schema)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest that the stored recipes give."""
+    """The manifest that the stored recipes give. A list holds at most ``SHARD_DOCS`` roots."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    tree = F.udf(lambda leaves: merkle([bytes(x) for x in leaves]), "binary")
-    shards = recipes.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("local_start", "root"))).alias("leaves"))
+    shards = _trees(recipes.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct(F.col("local_start").alias("at"), "root")).alias("roots")))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    shards = shards.select("shard", "n_docs", "n_tokens", tree(F.transform("leaves", lambda x: x["root"])).alias("root"))
     return shards.select("shard", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "root")
 
 
+def _summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary that the stored manifest gives; 40 bytes a shard are brought together."""
+    kept = spark.read.parquet(f"{path}/manifest")
+    return _trees(kept.agg(F.count(F.lit(1)).alias("n_shards"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.collect_list(F.struct(F.col("shard").alias("at"), "root")).alias("roots")))
+
+
 def verify_shards(spark: SparkSession, path: str) -> None:
-    """Raises if a shard's manifest row isn't what its recipes give, or its documents don't follow on."""
+    """Raises if a shard's manifest row isn't what its recipes give, its documents don't follow on, or the summary differs."""
     kept, found = (d.select("shard", F.struct("n_docs", "n_tokens", "start", F.hex("root").alias("root")).alias(n)) for d, n in ((spark.read.parquet(f"{path}/manifest"), "kept"), (_shards(spark, path), "found")))
     wrong = kept.join(found, "shard", "full").filter(~F.col("kept").eqNullSafe(F.col("found"))).select("shard")
     before = Window.partitionBy("shard").orderBy("local_start", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)  # every document has an id at least
@@ -192,6 +215,8 @@ def verify_shards(spark: SparkSession, path: str) -> None:
     bad = wrong.unionByName(own.filter("local_start <> at").select("shard")).agg(F.min("shard")).first()[0]
     if bad is not None:
         raise ValueError(f"shard {bad} does not verify")
+    if spark.read.parquet(f"{path}/summary").collect() != _summary(spark, path).collect():  # one row each
+        raise ValueError("the summary does not verify")
 
 
 def _chunk_facts(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -213,7 +238,9 @@ def _chunk_facts(spark: SparkSession, path: str, width: int) -> DataFrame:
 def _located(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     shards = spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("base"))
-    return recipes.join(F.broadcast(shards), "shard").select("shard", "doc_id", "local_start", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "root", "chunk_ids")  # a row per shard
+    if shards.count() * 64 <= BROADCAST_BYTES:
+        shards = F.broadcast(shards)
+    return recipes.join(shards, "shard").select("shard", "doc_id", "local_start", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "root", "chunk_ids")
 
 
 def digest(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -250,5 +277,9 @@ def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """(doc_id, start, ids): every document's id stream, put together from its chunks."""
     parts = _located(spark, path).select("doc_id", "start", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
     whole = parts.join(spark.read.parquet(f"{path}/chunks"), "chunk_id").groupBy("start", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
-    ids = F.udf(lambda ps: np.frombuffer(b"".join(bytes(p["payload"]) for p in ps), "<u2" if width == 2 else "<u4").tolist(), "array<int>")
-    return whole.select("doc_id", "start", ids("parts").alias("ids"))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(b"".join(p["payload"] for p in own.as_py()), "<u2" if width == 2 else "<u4").astype(np.int32) for own in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+    return whole.select("doc_id", "start", "parts").mapInArrow(join, "doc_id long, start long, ids array<int>")

@@ -253,7 +253,7 @@ def test_id_store(spark, docs, rows, empty):
     assert idstore.digest(spark, other).count() == 0
     # damage shows
     broken = Scratch(spark).path("store")
-    for part in ("recipes", "manifest"):
+    for part in ("recipes", "manifest", "summary"):
         spark.read.parquet(f"{path}/{part}").write.parquet(f"{broken}/{part}")
     chunks.withColumn("payload", F.concat("payload", F.lit(b"\0\0"))).write.parquet(f"{broken}/chunks")
     with pytest.raises(Exception, match="is damaged"):
