@@ -31,9 +31,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, language and tokenizer version, kept by batches: load, the same load again, a revision
-    of every count (the end id is counted from then on) under a second version, and the deletion of documents
-    without tokens."""
+    """Totals by source, language and tokenizer version, kept by batches: load, the same load again, a second version, a
+    revision of all its counts (the end id is counted from then on), the first version deleted and inserted again."""
     scratch = Scratch(spark)
     docs = tables(spark, sf_dir, "documents")
     counted = scratch.write(rollups.count_tokens(docs, _vocabulary("byte_bpe_50k.json"), "byte_bpe_50k.1"), "counted")
@@ -45,7 +44,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("load", load)
     rollup.commit("load-2", second.select(F.lit("insert").alias("action"), "*", none.alias("old_tokens")))
     rollup.commit("revise-2", second.select(F.lit("revise").alias("action"), "doc_id", "source", "lang", "tokenizer", (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))
-    rollup.commit("empty-1", counted.filter("n_tokens = 0").select(F.lit("delete").alias("action"), "*", none.alias("old_tokens")))
+    rollup.commit("retire-1", load.withColumn("action", F.lit("delete")))
+    rollup.commit("restore-1", load)
     return rollup.totals()
 
 

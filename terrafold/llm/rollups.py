@@ -2,10 +2,12 @@
 
 Changes are rows (action, doc_id, source, lang, tokenizer, n_tokens, old_tokens): an ``insert`` adds a document
 and its tokens, a ``delete`` takes both away, a ``revise`` adds the difference between the new and the old
-count. A batch of changes becomes one small table of signed sums by (source, lang, tokenizer), written to a
-temporary folder and renamed into place: a rename either happens or not, and a batch id that is there already
-is left alone, so a batch that is sent again changes nothing. Totals are the sum of all committed deltas;
-``compact`` folds them into one table that names the batches it holds.
+count. A batch of changes becomes one small table of signed sums by (source, lang, tokenizer) in a folder of its own.
+It counts from the moment that a marker file of the batch's name, which says where the table is, has been created. Creation is
+exclusive (the file system refuses a second file of that name, as HDFS does; a store without exclusive creation needs
+one writer), so of several writers of one batch one wins, and a batch that is sent again changes nothing. What no
+marker names is never read. Totals are the sum of all marked deltas; ``compact`` takes the list of them once, folds exactly
+these into one table, and publishes it with the list by a marker in the same way. A batch that lands meanwhile stays a delta.
 
 The sums are combined on the map side, so a hot source sends one row per task. Nothing is collected.
 
@@ -19,6 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,63 +55,86 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Rollups below ``root``: deltas/<batch> per committed batch, base/<id> where compacted."""
+    """Rollups below ``root``: data/<id> tables, commits/<batch> and bases/<number> markers that name them."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, kind: str) -> list[str]:
-        where = self._path(f"{self.root}/{kind}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+    def _mark(self, kind: str, name: str, what: str) -> bool:
+        """Creates a marker; False if one of that name came first."""
+        where = self._path(f"{self.root}/{kind}/{name}")
+        try:
+            out = self._fs.create(where, False)
+        except Py4JJavaError:
+            if self._fs.exists(where):
+                return False
+            raise
+        out.writeUTF(what)
+        out.close()
+        return True
+
+    def _marked(self, kind: str) -> dict[str, str]:
+        """Name -> what it names, of all markers of a kind. One whose writer died before it said so names nothing."""
+        where, found = self._path(f"{self.root}/{kind}"), {}
+        for s in self._fs.listStatus(where) if self._fs.exists(where) else []:
+            if s.getLen():
+                own = self._fs.open(s.getPath())
+                found[s.getPath().getName()] = own.readUTF()
+                own.close()
+        return found
 
-    def _place(self, df: DataFrame, target: str) -> bool:
-        """Writes aside, then renames; False if the target came first."""
-        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        df.coalesce(1).write.parquet(aside)
-        self._fs.mkdirs(self._path(target).getParent())
-        done = not self._fs.exists(self._path(target)) and self._fs.rename(self._path(aside), self._path(target))
-        if not done:
-            delete_path(self.spark, aside)
-        return bool(done)
+    def _write(self, df: DataFrame, what: str = "") -> str:
+        """Writes a table that no marker names yet."""
+        name = f"data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}{what}")
+        return name
+
+    def _state(self) -> tuple[str | None, str | None, dict[str, str]]:
+        """The last base's number and folder, and the deltas that it doesn't hold. Markers are read before the base's list."""
+        commits, bases = self._marked("commits"), self._marked("bases")
+        last = max(bases, default=None)
+        if last is None:
+            return None, None, commits
+        folded = {r.batch for r in self.spark.read.parquet(f"{self.root}/{bases[last]}/batches").collect()}  # a row per batch
+        return last, bases[last], {b: at for b, at in commits.items() if b not in folded}
 
     def committed(self) -> list[str]:
         """Ids of all batches that count."""
-        own = self._names("deltas")
-        for base in self._names("base")[-1:]:
-            own += [r.batch for r in self.spark.read.parquet(f"{self.root}/base/{base}/batches").collect()]  # a row per batch
-        return sorted(set(own))
+        return sorted(self._marked("commits"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """True if the batch was new; one that was committed before changes nothing."""
-        if batch in self.committed():
+        if batch in self._marked("commits"):
             return False
-        return self._place(deltas(changes), f"{self.root}/deltas/{batch}")
-
-    def _all(self) -> DataFrame:
-        found = self.spark.createDataFrame([], SCHEMA)
-        folded: set[str] = set()
-        for base in self._names("base")[-1:]:
-            found = found.unionByName(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/base/{base}/totals"))
-            folded = {r.batch for r in self.spark.read.parquet(f"{self.root}/base/{base}/batches").collect()}
-        if paths := [f"{self.root}/deltas/{b}" for b in self._names("deltas") if b not in folded]:
-            found = found.unionByName(self.spark.read.schema(SCHEMA).parquet(*paths))
-        return found
+        name = self._write(deltas(changes))
+        if self._mark("commits", batch, name):
+            return True
+        delete_path(self.spark, f"{self.root}/{name}")
+        if batch not in self._marked("commits"):
+            raise RuntimeError(f"the writer of batch {batch} died at its marker: remove commits/{batch}, then send the batch again")
+        return False
+
+    def _sum(self, base: str | None, more: dict[str, str]) -> DataFrame:
+        paths = ([f"{self.root}/{base}/totals"] if base else []) + [f"{self.root}/{more[b]}" for b in sorted(more)]
+        found = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        summed = found.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return summed.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        summed = self._all().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return summed.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._sum(*self._state()[1:])
 
     def compact(self) -> None:
-        """Folds all deltas into a new base, renamed into place as one folder; the deltas it holds then go."""
-        batches = self.committed()
-        aside, name = f"{self.root}/aside/{uuid.uuid4().hex}", f"{len(self._names('base')):012d}"
-        self.totals().coalesce(1).write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
-        self._fs.mkdirs(self._path(f"{self.root}/base"))
-        if not self._fs.rename(self._path(aside), self._path(f"{self.root}/base/{name}")):
+        """Folds all deltas into a new base. Deltas go at the next compaction only, so that readers of the old state finish."""
+        number, base, more = self._state()
+        name = self._write(self._sum(base, more), "/totals")
+        old = [r.batch for r in self.spark.read.parquet(f"{self.root}/{base}/batches").collect()] if base else []
+        self.spark.createDataFrame([(b,) for b in sorted([*old, *more])], "batch string").write.parquet(f"{self.root}/{name}/batches")
+        if not self._mark("bases", f"{int(number or 0) + 1:012d}", name):
+            delete_path(self.spark, f"{self.root}/{name}")
             raise RuntimeError("another compaction came first")
-        for b in batches:
-            delete_path(self.spark, f"{self.root}/deltas/{b}")
+        commits = self._marked("commits")
+        for b in old:
+            delete_path(self.spark, f"{self.root}/{commits[b]}")

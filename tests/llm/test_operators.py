@@ -205,36 +205,6 @@ def test_configurations_use_every_piece_once():
         assert sum(t for t, _ in plan) <= bound * 1.01 + 2
 
 
-def test_rollups(spark, docs, rows, empty):
-    name = "byte_bpe_50k.json"
-    counted = rollups.count_tokens(docs, P.path(name), "v1")
-    want = Counter()
-    for i, t, lang, source, _ in rows:
-        want[source, lang, "v1", "docs"] += 1
-        want[source, lang, "v1", "tokens"] += len(ids(name, t))
-
-    def totals(r):
-        return {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
-
-    r = rollups.Rollup(spark, Scratch(spark).path("rollup"))
-    assert totals(r) == {}
-    insert = counted.select(F.lit("insert").alias("action"), "*", F.lit(None).cast("long").alias("old_tokens"))
-    assert r.commit("a", insert) and not r.commit("a", insert)
-    full = {k[:3]: (want[(*k[:3], "docs")], want[(*k[:3], "tokens")]) for k in want}
-    assert totals(r) == full
-    revise = counted.select(F.lit("revise").alias("action"), "doc_id", "source", "lang", "tokenizer", (F.col("n_tokens") * 2).alias("n_tokens"), F.col("n_tokens").alias("old_tokens"))
-    r.commit("b", revise)
-    assert totals(r) == {k: (n, 2 * t) for k, (n, t) in full.items()}
-    r.compact()
-    assert totals(r) == {k: (n, 2 * t) for k, (n, t) in full.items()} and not r.commit("b", revise)
-    r.commit("c", counted.select(F.lit("delete").alias("action"), "doc_id", "source", "lang", "tokenizer", (F.col("n_tokens") * 2).alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens")))
-    assert totals(r) == {}
-    assert r.commit("d", insert.limit(0)) and totals(r) == {}
-    with pytest.raises(Exception, match="unknown action"):
-        r.commit("e", insert.withColumn("action", F.lit("upsert")))
-    assert r.committed() == ["a", "b", "c", "d"]
-
-
 def test_id_store(spark, docs, rows, empty):
     name, path = "byte_bpe_50k.json", Scratch(spark).path("store")
     idstore.write(docs, path, P.path(name))
