@@ -2,14 +2,16 @@
 
 A document's terms are its different words (lower case, without marks at their ends) and their beginnings of 5,
 6 and 7 letters, hashed into ``DIMS`` places. From the labelled training rows (never those that are held out)
-at most ``SAMPLE`` are taken, by a hash of their id. Over them each task counts places by label; the ``TERMS``
-places that tell the labels apart best (G-squared of at least ``LEAST_GAIN``) are kept. The machine
+at most ``SAMPLE`` are taken, by a hash of their id. Over them each task counts places by label. Every place that tells the
+labels apart alone (G-squared of at least ``LEAST_GAIN``) goes into the machine
 
     logit = w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
-has a weight per place and a vector per place, whose products weigh pairs of terms (an insult and a group's
-mention together). It is fitted on the driver, on at most SAMPLE rows of a few dozen places each, and scores
-every whole text in one pass, without a shuffle.
+with a weight per place and a vector per place, whose products weigh pairs of terms (an insult and a group's
+mention together). A term may matter only together with another: what the fitted machine leaves unexplained is tested for
+all pairs of places that ``COMMON`` of the rows hold or more (a score test on the residuals), the places of pairs beyond
+``PAIR_SCORE`` deviations are added and the machine is fitted again. The fit runs on the driver, on at most SAMPLE rows of
+numbers; scoring reads every whole text in one pass, without a shuffle.
 
 Labels, language, source and id are never inputs of a score. Defined results: a null or empty text has no
 terms and the score of that; without training rows of both labels every score is the share of toxic ones (0
@@ -32,9 +34,10 @@ from .common import Scratch, col
 #: Bound of the labelled rows that the machine is fitted on.
 SAMPLE = 20_000
 DIMS = 1 << 18
-TERMS = 2048
-#: Least G-squared of a kept place.
+#: Least G-squared of a place that is kept for itself.
 LEAST_GAIN = 6.0
+#: Least share of rows that hold a place tested in pairs, and the least score of a pair whose places are kept.
+COMMON, PAIR_SCORE = 0.02, 7.0
 RANK = 8
 STARTS = (5, 6, 7)
 #: Words whose places a worker keeps.
@@ -104,17 +107,20 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, rank:
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             own = order[at : at + batch]
-            x = np.zeros((len(own), n_terms), np.float32)
-            for i, k in enumerate(own):
-                x[i, rows[k]] = 1
-            s = x @ theta[:, 1:]
-            z = bias + x @ theta[:, 0] + 0.5 * ((s * s).sum(1) - (x @ (theta[:, 1:] ** 2)).sum(1))
+            sizes = np.fromiter((len(rows[k]) for k in own), np.int64, len(own))
+            at_row, terms = np.repeat(np.arange(len(own)), sizes), np.concatenate([rows[k] for k in own])
+
+            def summed(x: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+                return np.stack([np.bincount(by, c, n).astype(np.float64) for c in x.T], 1)  # without rows it counts in integers
+
+            got = summed(theta[terms], at_row, len(own))
+            s = got[:, 1:]
+            squares = np.bincount(at_row, (theta[terms, 1:] ** 2).sum(1), len(own))
+            z = bias + got[:, 0] + 0.5 * ((s * s).sum(1) - squares)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
-            grad = np.empty_like(theta)
-            grad[:, 0] = x.T @ g
-            grad[:, 1:] = x.T @ (g[:, None] * s) - theta[:, 1:] * grad[:, :1]
+            grad = summed((g[:, None] * np.concatenate([np.ones((len(own), 1)), s], 1))[at_row], terms, n_terms)
+            grad[:, 1:] += (pair_decay - grad[:, :1]) * theta[:, 1:]
             grad[:, 0] += decay * theta[:, 0]
-            grad[:, 1:] += pair_decay * theta[:, 1:]
             gb = float(g.sum())
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -134,7 +140,44 @@ def _g2(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     return part(pos, n_pos, share) + part(neg, n_neg, share)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Machine:
+def pair_terms(rows: list[np.ndarray], left: np.ndarray, spread: np.ndarray, n_terms: int, least: float = PAIR_SCORE, block: int = 512) -> np.ndarray:
+    """Terms of pairs whose joint presence goes with the residuals: |sum r x_i x_j| of ``least`` deviations or more.
+
+    ``left`` has the residuals y - p and ``spread`` the variances p (1 - p). A block of terms at a time: 4 * block bytes a row.
+    """
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    row, term = np.repeat(np.arange(len(rows)), sizes), np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+    # A pair's score is at most what either term reaches alone, and no bound is below ``least``.
+    alive = np.flatnonzero(np.bincount(term, np.abs(left)[row], n_terms) >= least)
+    own = np.full(n_terms, -1)
+    own[alive] = np.arange(len(alive))
+    keep = own[term] >= 0
+    row, term, n_terms = row[keep], own[term[keep]], len(alive)
+    order = np.argsort(term, kind="stable")
+    row, term = row[order], term[order]
+
+    def part(first: int) -> np.ndarray:
+        own = slice(*np.searchsorted(term, [first, first + block]))
+        x = np.zeros((len(rows), min(block, n_terms - first)), np.float32)
+        x[row[own], term[own] - first] = 1
+        return x
+
+    hit = np.zeros(n_terms, bool)
+    r, v = left.astype(np.float32)[:, None], spread.astype(np.float32)[:, None]
+    for a in range(0, n_terms, block):
+        x = part(a)
+        moved, wide = (x * r).T, (x * v).T
+        for b in range(a, n_terms, block):
+            y = x if a == b else part(b)
+            strong = np.abs(moved @ y) >= least * np.sqrt(wide @ y + 1)
+            if a == b:
+                np.fill_diagonal(strong, False)
+            hit[a : a + len(x.T)] |= strong.any(1)
+            hit[b : b + len(y.T)] |= strong.any(0)
+    return alive[hit]
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Machine:
     """A machine from the labelled documents that are not held out."""
     scratch = Scratch(docs.sparkSession)
     usable = labels.select(col(key).cast("long").alias("id"), col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out("id"))
@@ -170,8 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return Machine(np.empty(0, np.int64), 50.0 if share == 1 else -50.0, np.zeros(0), np.zeros((0, RANK)))
     own = sums[sums.place < DIMS]
     gain = _g2(own.pos.to_numpy(float), own.neg.to_numpy(float), n_pos, n_neg)
-    own, gain = own[gain >= LEAST_GAIN], gain[gain >= LEAST_GAIN]
-    kept = np.sort(own.place.to_numpy()[np.lexsort((own.place.to_numpy(), -gain))[:terms]])
+    own = own.assign(gain=gain).sort_values("place")
+    own = own[(own.gain >= LEAST_GAIN) | (own.neg + own.pos >= COMMON * (n_neg + n_pos))]
+    kept, alone = own.place.to_numpy(), own.gain.to_numpy() >= LEAST_GAIN
     number = np.full(DIMS, -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
 
@@ -183,9 +227,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     fitted = rows.mapInArrow(renumber, "id long, y int, terms array<int>").toPandas()  # at most `sample` rows
     fitted["turn"] = [tuple(t) for t in fitted.terms]
     fitted = fitted.sort_values(["id", "y", "turn"])
-    bias, weights, vectors = fit_machine([np.asarray(t, np.int64) for t in fitted.terms], fitted.y.to_numpy(), len(kept))
+    x, y = [np.asarray(t, np.int64) for t in fitted.terms], fitted.y.to_numpy()
+
+    def fit(terms: np.ndarray) -> tuple[Machine, list[np.ndarray]]:
+        own = np.full(len(kept), -1)
+        own[terms] = np.arange(len(terms))
+        rows = [r[r >= 0] for r in (own[t] for t in x)]
+        return Machine(kept[terms], *fit_machine(rows, y, len(terms))), rows
+
+    first = np.flatnonzero(alone)
+    machine, rows_ = fit(first)
+    p = 1 / (1 + np.exp(-np.clip([machine.logit(r) for r in rows_], -30, 30)))
+    more = pair_terms(x, y - p, p * (1 - p), len(kept))
+    if len(np.setdiff1d(more, first)):
+        machine, _ = fit(np.union1d(first, more))
     scratch.drop("rows", "chosen")
-    return Machine(kept, bias, weights, vectors)
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score", text: str = "text") -> DataFrame:
