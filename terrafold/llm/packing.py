@@ -3,10 +3,12 @@
 1. Every text is encoded once; each document becomes pieces of at most ``capacity`` ids. The pieces (no ids,
    only lengths and checksums) are a table in the shared folder, numbered per (task, length).
 2. The histogram has at most ``capacity`` lengths, however many documents there are. Over it the driver solves
-   the configuration program: a multiplicative-weights price per length, lowered as the length gets covered, and
-   the best full sequence at these prices by knapsack dynamic programming. Each priced configuration is used a
-   whole number of times (rounding down); what rounding leaves is packed best fit, longest first, on the
-   histogram too: sequences with the same filling are handled as one with a count.
+   the configuration program: cover every length's count with as few sequences as possible, each sequence a configuration
+   (how many pieces of which lengths). Prices per length fall by multiplicative weights as the length gets covered; knapsack dynamic
+   programming gives the best total price of every room, so one table prices, for each length, the best configuration that
+   holds it. A round raises the target coverage by 1 / ``STEPS``; configurations within ``LOSS`` of the best price are used fractionally until
+   all lengths reach it. Prices divided by the best sequence's price are a dual solution: a lower bound. Uses are rounded
+   down; what this leaves is solved again in whole uses, at first without loss, and what no priced configuration holds is packed best fit.
 3. A plan row says: the pieces of one length ranked from..to fill these sequences at this offset. The rank of a
    piece is its number within its task and length plus the pieces of that length in earlier tasks: a small
    join and no sort of documents, so a length that a third of all pieces share costs no more than another.
@@ -31,10 +33,9 @@ from .common import Scratch, col
 
 CAPACITY = 4096
 END_ID = 1
-#: Configurations that are priced; what they leave is packed best fit.
-ROUNDS = 60
-#: How fast the price of a length falls as it gets covered.
-RATE = 2.0
+#: Rounds until all lengths should be covered (a few more are made for those that lag), the share of the best price
+#: that a configuration may lack, and how fast prices fall: over a full coverage by as much as that.
+STEPS, LOSS, RATE = 8, 1 / 1024, 1 / 1024
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -63,51 +64,104 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(col(key).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(cut, schema)
 
 
-def _best(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> list[int]:
-    """The multiset of lengths with the highest total price that fits: knapsack dynamic programming, any number of each."""
-    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        value[c], last[c] = value[c - 1], -1
-        if k := upto[c]:
-            got = value[c - lengths[:k]] + prices[:k]
-            if got[j := int(got.argmax())] > value[c] + 1e-12:
-                value[c], last[c] = got[j], j
-    out, c = [], capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            out.append(int(last[c]))
-            c -= int(lengths[last[c]])
-    return out
-
-
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(times, [(length, how many)])] that uses every counted piece exactly once."""
-    lengths = np.array(sorted(counts), np.int64)
-    total = np.array([counts[int(x)] for x in lengths], np.int64)
-    left, out, short = total.copy(), [], np.zeros(len(lengths))
-    for _ in range(rounds):
-        alive = left > 0
-        if not alive.any():
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The best total price for each room up to ``capacity``: dynamic programming, any number of each length."""
+    value = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for room in range(1, capacity + 1):
+        value[room] = value[room - 1]
+        if k := upto[room]:
+            value[room] = max(value[room], (value[room - lengths[:k]] + prices[:k]).max())
+    return value
+
+
+def _filled(first: int, lengths: np.ndarray, prices: np.ndarray, value: np.ndarray, need: np.ndarray, least: float, slack: float) -> dict[int, int]:
+    """A configuration (place of a length -> how many) that holds ``first`` and lacks at most ``slack`` of the best such price.
+
+    Of the lengths that keep it and are still needed the longest goes first: short ones are worth more in what remains.
+    """
+    used, room = {first: 1}, len(value) - 1 - int(lengths[first])
+    while room > 0 and value[room] > 0:
+        k = int(np.searchsorted(lengths, room, side="right"))
+        lost = value[room] - prices[:k] - value[room - lengths[:k]]
+        near = (lost <= slack) & (need[:k] >= least)
+        for i, many in used.items():
+            if i < k and need[i] < least * (many + 1):
+                near[i] = False
+        pick = np.flatnonzero(near)
+        if not len(pick):
             break
-        own, rest, all_ = lengths[alive], left[alive], total[alive]
-        # Of equal fillings the one with longer pieces wins: short ones are worth more in what remains.
-        prices = own / capacity * (1 + 0.05 * own / capacity) * np.exp(-RATE * (1 - rest / all_) - short[alive])
-        picked, many = np.unique(np.array(_best(own, prices, capacity), np.int64), return_counts=True)
-        if not len(picked):
+        i = int(pick[-1])
+        slack -= max(0.0, float(lost[i]))
+        used[i] = used.get(i, 0) + 1
+        room -= int(lengths[i])
+    return used
+
+
+def _sweep(lengths: np.ndarray, need: np.ndarray, prices: np.ndarray, capacity: int, least: float, loss: float, uses: dict) -> float:
+    """Uses configurations near the best price until no length that is needed has one; lowers ``need``. Gives the best price."""
+    value = knapsack(lengths, prices, capacity)
+    floor = value[capacity] * (1 - loss) - 1e-9
+    for first in range(len(lengths) - 1, -1, -1):
+        reach = prices[first] + value[capacity - lengths[first]]
+        while need[first] >= least and reach >= floor:
+            used = _filled(first, lengths, prices, value, need, least, reach - floor)
+            if sum(prices[i] * many for i, many in used.items()) < floor:
+                break
+            times = min(need[i] / many for i, many in used.items())
+            times = int(times) if least == 1 else times
+            for i, many in used.items():
+                need[i] -= many * times
+            filling = tuple((int(lengths[i]), many) for i, many in used.items())
+            uses[filling] = uses.get(filling, 0) + times
+    return float(value[capacity])
+
+
+def fractional(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, loss: float = LOSS, rate: float = RATE) -> tuple[dict[tuple, float], float]:
+    """Configuration -> uses (fractions), and the lower bound of the number of sequences."""
+    lengths = np.array(sorted(counts), np.int64)
+    total = np.array([counts[int(x)] for x in lengths], np.float64)
+    covered, uses, bound = np.zeros(len(lengths)), {}, 0.0
+    for k in range(1, steps + steps // 2 + 1) if len(lengths) else ():
+        prices = lengths / capacity * np.exp(-rate * covered / total)
+        need = total * min(1, k / steps) - covered
+        need[need < 1e-9 * total] = 0
+        before = need.copy()
+        best = _sweep(lengths, need, prices, capacity, 1 / steps, loss, uses)
+        bound = max(bound, float((total * prices).sum()) / best)
+        covered += before - need
+        if not need.any() and k >= steps:
             break
-        short[np.flatnonzero(alive)[picked[many > rest[picked]]]] += 1  # more than there are: dearer from now on
-        many = np.minimum(many, rest[picked])
-        if capacity - int((own[picked] * many).sum()) > capacity // 256:
-            continue  # not a full sequence
-        times = int((rest[picked] // many).min())
-        times = max(1, times // 2) if times > 3 else times
-        out.append((times, [(int(own[i]), int(m)) for i, m in zip(picked, many, strict=True)]))
-        index = np.flatnonzero(alive)[picked]
-        left[index] -= times * many
-    return out + best_fit({int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}, capacity)
+    return uses, bound
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY, facts: dict | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(times, [(length, how many)])] that uses every counted piece exactly once.
+
+    ``facts`` receives the program's lower bound and the shares of ids that the rounded program, its whole uses and best fit place.
+    """
+    uses, bound = fractional(counts, capacity)
+    plan, left = [(int(x), list(filling)) for filling, x in uses.items() if x >= 1], dict(counts)
+    for times, filling in plan:
+        for length, many in filling:
+            left[length] -= times * many
+    ids = sum(a * n for a, n in counts.items()) or 1
+    rounded = sum(a * n for a, n in left.items())
+    for loss in (0, LOSS / 4, LOSS, 4 * LOSS):
+        rest = sum(a * n for a, n in left.items())
+        while rest:
+            lengths = np.array(sorted(a for a, n in left.items() if n), np.int64)
+            need, own = np.array([left[int(a)] for a in lengths]), {}
+            _sweep(lengths, need, lengths / capacity, capacity, 1, loss, own)
+            plan += [(times, list(filling)) for filling, times in own.items()]
+            left |= dict(zip(lengths.tolist(), need.tolist(), strict=True))
+            was, rest = rest, sum(a * n for a, n in left.items())
+            if was - rest < was / 50:
+                break
+    if facts is not None:
+        rest = sum(a * n for a, n in left.items())
+        facts |= {"bound": bound, "rounded": 1 - rounded / ids, "whole": (rounded - rest) / ids, "best_fit": rest / ids}
+    return plan + best_fit({a: n for a, n in left.items() if n}, capacity)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -171,7 +225,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     table = slots(configurations(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = tallies.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # Merged, never broadcast: ``base`` has up to ``capacity`` rows a task. No text is in either table.
+    ranked = cut.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
