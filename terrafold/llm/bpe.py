@@ -18,7 +18,7 @@ from array import array
 MEMO = 800_000
 
 _CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_LATIN, _MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?;:"
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
@@ -70,27 +70,34 @@ class Encoder(dict):
         written = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
+    def _word(self, gap: str, letters: str) -> bytes:
+        if gap == "\n" and not self.words:
+            return self["\n"] + self[letters]
+        return self._letters(letters if self.words else gap + letters)
+
+    def _encoded(self, piece: str) -> bytes:
+        gap = piece[0] if piece[:1] in (" ", "\n") else ""
+        bare = piece[1:] if gap else piece
+        if bare.isalpha() and (bare.isascii() or _LATIN.fullmatch(bare)):
+            return self._word(gap, bare)
+        letters = bare.rstrip(_MARKS)
+        if not piece:
+            return b""
+        if not letters.isalpha() or not (letters.isascii() or _LATIN.fullmatch(letters)):
+            return self.whole(piece)
+        key, end = gap + letters, bare[len(letters) :]
+        own = self.get(key) or self.old.get(key)
+        if own is None:
+            own = self[key] = self._word(gap, letters)
+        tail = self.get(end)
+        if tail is None:
+            tail = self[end] = self.whole(end)
+        return own + tail
+
     def __missing__(self, piece: str) -> bytes:
         value = self.old.get(piece)
-        if value is not None:
-            self[piece] = value
-            return value
-        found = _PLAIN.fullmatch(piece)
-        if not found:
-            value = self.whole(piece)
-        else:
-            gap, letters, end = found.groups()
-            if end:
-                tail = self.get(end)
-                if tail is None:
-                    tail = self[end] = self.whole(end)
-                value = self[gap + letters] + tail
-            elif self.words:
-                value = self._letters(letters)
-            elif gap == "\n":
-                value = self["\n"] + self[letters]
-            else:
-                value = self._letters(gap + letters)
+        if value is None:
+            value = self._encoded(piece)
         if len(self) >= MEMO // 2:  # what is still in use comes back from the old generation
             self.old = dict(self)
             self.clear()

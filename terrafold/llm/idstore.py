@@ -43,6 +43,8 @@ CUT_MASK = np.uint64(511 << 40)
 MIN_CHUNK, MAX_CHUNK, WINDOW = 64, 4096, 16
 #: Most documents of a shard, whose roots one task brings together (32 bytes each).
 SHARD_DOCS = 1 << 16
+#: Digests and ids don't repeat within a file: no dictionaries are tried, and the quickest level compresses as well.
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
 
 
 def _gear(n: int = 1 << 16) -> np.ndarray:
@@ -151,10 +153,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
     """Writes the store; ``path`` must be new, in a folder that all executors share."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    stage = scratch.write(staged(docs, tokenizer, end_id, width, text, key), "staged")
+    stage = scratch.write(staged(docs, tokenizer, end_id, width, text, key), "staged", **PLAIN)
     pairs = stage.select(F.explode(F.arrays_zip("chunk_ids", "payloads")).alias("c")).select(F.col("c.chunk_ids").alias("chunk_id"), F.col("c.payloads").alias("payload"))
     once = pairs.groupBy("chunk_id").agg(F.first("payload").alias("payload"))
-    once.select("chunk_id", (F.octet_length("payload") / width).cast("long").alias("n_ids"), "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    once.select("chunk_id", (F.octet_length("payload") / width).cast("long").alias("n_ids"), "payload").write.options(compression="zstd", **PLAIN).parquet(f"{path}/chunks")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunk_ids", pa.list_(pa.binary()))])
@@ -181,12 +183,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
 
 
 def _trees(df: DataFrame) -> DataFrame:
-    """``df`` with its last column, an array of (place, root), as the Merkle root over those roots in order."""
+    """``df`` with its last column, an array of (at, n, root), as the Merkle root over those roots in order of ``at``.
+
+    Where they don't follow on (each ``at`` is the sum of the ``n`` before it) the root is null.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", root binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roots = [merkle([x["root"] for x in sorted(own.as_py(), key=lambda x: x["at"])]) for own in b.columns[-1]]
+            roots = []
+            for own in b.columns[-1]:
+                parts = sorted((x["at"], x["n"], x["root"]) for x in own.as_py())
+                at, sizes = np.array([x[:2] for x in parts], np.int64).reshape(-1, 2).T
+                roots.append(merkle([x[2] for x in parts]) if (at == np.cumsum(sizes) - sizes).all() else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(roots, pa.binary())], names=[*b.schema.names[:-1], "root"])
 
     return df.mapInArrow(run, schema)
@@ -195,7 +204,7 @@ def _trees(df: DataFrame) -> DataFrame:
 def _shards(spark: SparkSession, path: str) -> DataFrame:
     """The manifest that the stored recipes give. A list holds at most ``SHARD_DOCS`` roots."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    shards = _trees(recipes.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct(F.col("local_start").alias("at"), "root")).alias("roots")))
+    shards = _trees(recipes.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct(F.col("local_start").alias("at"), F.col("n_tokens").alias("n"), "root")).alias("roots")))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return shards.select("shard", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "root")
 
@@ -203,16 +212,13 @@ def _shards(spark: SparkSession, path: str) -> DataFrame:
 def _summary(spark: SparkSession, path: str) -> DataFrame:
     """The summary that the stored manifest gives; 40 bytes a shard are brought together."""
     kept = spark.read.parquet(f"{path}/manifest")
-    return _trees(kept.agg(F.count(F.lit(1)).alias("n_shards"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.collect_list(F.struct(F.col("shard").alias("at"), "root")).alias("roots")))
+    return _trees(kept.agg(F.count(F.lit(1)).alias("n_shards"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.collect_list(F.struct(F.col("start").alias("at"), F.col("n_tokens").alias("n"), "root")).alias("roots")))
 
 
 def verify_shards(spark: SparkSession, path: str) -> None:
     """Raises if a shard's manifest row isn't what its recipes give, its documents don't follow on, or the summary differs."""
     kept, found = (d.select("shard", F.struct("n_docs", "n_tokens", "start", F.hex("root").alias("root")).alias(n)) for d, n in ((spark.read.parquet(f"{path}/manifest"), "kept"), (_shards(spark, path), "found")))
-    wrong = kept.join(found, "shard", "full").filter(~F.col("kept").eqNullSafe(F.col("found"))).select("shard")
-    before = Window.partitionBy("shard").orderBy("local_start", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)  # every document has an id at least
-    own = spark.read.parquet(f"{path}/recipes").select("shard", "local_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("at"))
-    bad = wrong.unionByName(own.filter("local_start <> at").select("shard")).agg(F.min("shard")).first()[0]
+    bad = kept.join(found, "shard", "full").filter(~F.col("kept").eqNullSafe(F.col("found"))).agg(F.min("shard")).first()[0]
     if bad is not None:
         raise ValueError(f"shard {bad} does not verify")
     if spark.read.parquet(f"{path}/summary").collect() != _summary(spark, path).collect():  # one row each

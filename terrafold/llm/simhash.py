@@ -230,11 +230,11 @@ def _budgets() -> np.ndarray:
     return np.arange(1, WIDE // 64 + 1) * 4 * FAR // SEGMENTS
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose chains keep all budgets, and their distances; both are fingerprints turned to where the chain starts."""
-    rows, total = np.arange(len(x)), np.zeros(len(x), np.int64)
+def _apart(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs i[k], j[k] the numbers k whose chains keep all budgets, and their distances; chains start at the first bit."""
+    rows, total = np.arange(len(i)), np.zeros(len(i), np.int64)
     for word, budget in enumerate(_budgets()):
-        total = total + np.bitwise_count(x[rows, word] ^ y[rows, word])
+        total = total + np.bitwise_count(fps[i[rows], word] ^ fps[j[rows], word])
         ok = total <= budget
         rows, total = rows[ok], total[ok]
         if not len(rows):
@@ -280,7 +280,7 @@ def _large_group(fps: np.ndarray) -> list[tuple[int, int, int]]:
     biggest = np.bincount(tree).argmax()
     for at in np.flatnonzero(tree != biggest).tolist():
         others = np.flatnonzero(tree != tree[at])
-        rows, total = _apart(np.broadcast_to(fps[at], (len(others), fps.shape[1])), fps[others])
+        rows, total = _apart(fps, np.full(len(others), at), others)
         if len(rows):
             k = int(total.argmin())
             edges.append((int(total[k]), at, int(others[rows[k]])))
@@ -290,8 +290,11 @@ def _large_group(fps: np.ndarray) -> list[tuple[int, int, int]]:
 def group_edges(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, segments: np.ndarray) -> list[tuple[int, int, int]]:
     """(node, node, distance) of the candidate links of some groups that lie one after another."""
     group = np.repeat(np.arange(len(sizes)), sizes)
-    turn = (segments[group][:, None] + np.arange(SEGMENTS)) % SEGMENTS
-    turned = np.ascontiguousarray(np.take_along_axis(fps.view("<u2"), turn, 1)).view("<u8")
+    turned = fps.copy().view("<u2")
+    for segment in np.unique(segments).tolist():
+        own = segments[group] == segment
+        turned[own] = np.roll(turned[own], -segment, 1)
+    turned = turned.view("<u8")
     ends = np.cumsum(sizes)
     last, found = (ends - 1)[group], []
     small = sizes[group] <= SMALL
@@ -299,7 +302,7 @@ def group_edges(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, segments:
         i = np.flatnonzero(small & (np.arange(len(group)) + step <= last))
         if not len(i):
             break
-        rows, total = _apart(turned[i], turned[i + step])
+        rows, total = _apart(turned, i, i + step)
         found += list(zip(group[i[rows]].tolist(), total.tolist(), i[rows].tolist(), (i[rows] + step).tolist(), strict=True))
     found.sort()
     out, at = [], 0
@@ -339,13 +342,16 @@ def _candidates(nodes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets)).astype(np.int64)
-            fps = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u8").reshape(-1, WIDE // 64)
-            found = group_edges(np.asarray(flat.field(0)), fps, sizes, np.asarray(batch.column(0)) >> 16)
-            if found:
-                u, v, d = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["u", "v", "apart"])
+            held = np.cumsum(np.diff(np.asarray(batch.column(1).offsets)))
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(held // 50_000)) + 1):  # what is compared at once is bounded
+                own = batch.slice(int(part[0]), len(part)) if len(part) else batch.slice(0, 0)
+                lists = own.column(1)
+                flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets)).astype(np.int64)
+                fps = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u8").reshape(-1, WIDE // 64)
+                found = group_edges(np.asarray(flat.field(0)), fps, sizes, np.asarray(own.column(0)) >> 16)
+                if found:
+                    u, v, d = np.array(found, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["u", "v", "apart"])
 
     return groups.mapInArrow(run, "u long, v long, apart long").distinct()
 

@@ -146,7 +146,7 @@ def pair_terms(rows: list[np.ndarray], left: np.ndarray, spread: np.ndarray, n_t
     ``left`` has the residuals y - p and ``spread`` the variances p (1 - p). A block of terms at a time: 4 * block bytes a row.
     """
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    row, term = np.repeat(np.arange(len(rows)), sizes), np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+    row, term = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
     # A pair's score is at most what either term reaches alone, and no bound is below ``least``.
     alive = np.flatnonzero(np.bincount(term, np.abs(left)[row], n_terms) >= least)
     own = np.full(n_terms, -1)
@@ -225,9 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "terms"])
 
     fitted = rows.mapInArrow(renumber, "id long, y int, terms array<int>").toPandas()  # at most `sample` rows
-    fitted["turn"] = [tuple(t) for t in fitted.terms]
-    fitted = fitted.sort_values(["id", "y", "turn"])
-    x, y = [np.asarray(t, np.int64) for t in fitted.terms], fitted.y.to_numpy()
+    fitted = fitted.sort_values(["id", "y"])  # a row per id and label
+    x, y = [np.asarray(t, np.int32) for t in fitted.terms], fitted.y.to_numpy()
+    del fitted
 
     def fit(terms: np.ndarray) -> tuple[Machine, list[np.ndarray]]:
         own = np.full(len(kept), -1)
