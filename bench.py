@@ -30,7 +30,6 @@ def ring(n: int) -> bytes:
 def main() -> None:
     spark = SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    spark.sparkContext.setCheckpointDir("/tmp/terrafold-bench")
     register_all(spark)
     big = ring(5000)
 

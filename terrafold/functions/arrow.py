@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from ..geom import model, plane
 from ..geom.model import POINT, Geometry
 from . import scalar as S
+from . import vector
 
 BOX = pa.struct([("xmin", pa.float64()), ("ymin", pa.float64()), ("xmax", pa.float64()), ("ymax", pa.float64()), ("srid", pa.int32())])
 ARROW = {"d": pa.float64(), "i": pa.int32(), "t": pa.string(), "o": pa.bool_(), "b": pa.binary(), "g": pa.binary(), "x": BOX, "l": pa.list_(pa.binary())}
@@ -156,6 +157,8 @@ def run(f: S.Scalar, args: tuple[pa.Array, ...]) -> pa.Array:
         return quick
     if f.name in ("ST_X", "ST_Y") and pa.types.is_struct(args[0].type) and (own := points(args[0])) is not None:
         return pa.array(np.ascontiguousarray(own[0][:, int(f.name == "ST_Y")]), pa.float64(), mask=own[1])
+    if len(args) == 1 and isinstance(args[0], pa.Array) and (quick := vector.measure(f.name, args[0])) is not None:
+        return quick
     columns = []
     for k, (a, letter) in enumerate(zip(args, f.args, strict=False)):
         if letter in "gp":

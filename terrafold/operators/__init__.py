@@ -1,7 +1,7 @@
 """Operators over whole tables: aggregates, clustering and the spatial join."""
 
-from .aggregates import st_collect, st_extent, st_mem_union
+from .aggregates import st_collect, st_extent, st_mem_union, union_by
 from .cluster import cluster_dbscan, cluster_kmeans
 from .join import spatial_join
 
-__all__ = ["cluster_dbscan", "cluster_kmeans", "spatial_join", "st_collect", "st_extent", "st_mem_union"]
+__all__ = ["cluster_dbscan", "cluster_kmeans", "spatial_join", "st_collect", "st_extent", "st_mem_union", "union_by"]

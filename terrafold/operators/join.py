@@ -1,7 +1,7 @@
 """Spatial join: grid cells, an equi-join on them, a box test, then the exact predicate.
 
-Both sides get boxes. One aggregation over the left side sets the cell size so that a cell holds about one row
-of the left side; every row goes to the cells that its box covers, and rows meet in an equi-join on the cell, which Spark
+Both sides get boxes. One aggregation over the left side and a small sample of it set the cell size, so that a left row shares its
+cell with few others even where rows crowd (``cell_size``); every row goes to the cells that its box covers, and rows meet in an equi-join on the cell, which Spark
 spreads over the cluster and splits where it is skewed. A pair is kept only in the cell of the lower left corner of its
 boxes' overlap, so no distinct is needed. A row that covers more than ``MAX_CELLS`` cells goes to a coarser grid instead: its
 level's cells, 8 times as wide per level, and the other side's rows are dealt to the levels in use too.
@@ -12,7 +12,10 @@ don't decide. Nothing is broadcast, whatever the sizes, unless Spark itself find
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,8 @@ from ..functions.registry import scalar_udf
 
 MAX_CELLS = 64
 LEVELS = 8
+#: Left rows that may share a cell with a row, and the rows that a cell's size is judged by.
+CROWD, SAMPLE = 8, 20_000
 JOINABLE = (*[p for p in S.PREDICATES if p != "ST_Disjoint"], "ST_DWithin", "ST_BBoxIntersects")
 
 
@@ -68,6 +73,32 @@ def _levels(size: int, cell: float) -> range:
     return range(first, last + 1)
 
 
+def cell_size(cell: float, centres: np.ndarray, n: int, least: float) -> float:
+    """``cell``, halved until a row shares its cell with at most ``CROWD`` others, as a sample of the ``n`` rows' centres shows.
+
+    Cells below ``least`` (rows would cover many of them) or shared by equal centres alone don't help and aren't tried.
+    """
+    m = len(centres)
+    while m > 1 and cell / 2 >= least:
+        own = np.unique(np.floor(centres / cell), axis=0, return_counts=True)[1]
+        if (own * (own - 1)).sum() / (m * (m - 1)) * n <= CROWD or (own > 1).sum() == 0:
+            break
+        cell /= 2
+    return cell
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Raises unless a checkpoint folder is set (spark.checkpoint.dir); a local session gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("outer spatial joins need spark.checkpoint.dir, a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="terrafold-checkpoints-")
+    sc.setCheckpointDir(found)
+
+
 def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, right_geom: str, distance: float | None = None, how: str = "inner", cell: float | None = None) -> DataFrame:
     """Rows of both sides for which ``pred``(left geometry, right geometry) holds.
 
@@ -96,7 +127,11 @@ def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, r
     found = set(x[7]) | ({-9999} if rk == "point" else set(r0.agg(sizes).first()[0]))
     if cell is None:
         side = max(x[1] - x[0], x[3] - x[2]) if x[4] else 1.0
-        cell = max(side / max(1.0, x[4] ** 0.5), 2 * max(x[5] or 0, x[6] or 0), 1e-12 * max(1.0, *(abs(v or 0) for v in x[:4])))
+        least = max(2 * max(x[5] or 0, x[6] or 0), 1e-12 * max(1.0, *(abs(v or 0) for v in x[:4])))
+        cell = max(side / max(1.0, x[4] ** 0.5), least)
+        if x[4]:
+            middles = l0.select((b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2).sample(min(1.0, SAMPLE / x[4]), seed=7).collect()  # about SAMPLE rows
+            cell = cell_size(cell, np.array(middles, float).reshape(-1, 2), x[4], least)
     width = F.pow(F.lit(8.0), F.col("tf_level")) * F.lit(float(cell))
 
     def at(field: str) -> Column:
@@ -136,6 +171,7 @@ def spatial_join(left: DataFrame, right: DataFrame, pred: str, left_geom: str, r
 def _outer(left: DataFrame, right: DataFrame, pred: str, lg: str, rg: str, distance: float | None, how: str, cell: float | None) -> DataFrame:
     """Other kinds of join, from the inner join of row numbers and geometries. Both sides are numbered once, on
     tables that a checkpoint fixes, as numbers given anew on a retry could differ."""
+    shared_checkpoints(left.sparkSession)
     l, r = (d.withColumn(n, F.monotonically_increasing_id()).checkpoint() for d, n in ((left, "tf_l"), (right, "tf_r")))
     pairs = spatial_join(l.select("tf_l", F.col(lg).alias("tf_lg")), r.select("tf_r", F.col(rg).alias("tf_rg")), pred, "tf_lg", "tf_rg", distance, "inner", cell).select("tf_l", "tf_r")
     if how in ("left_semi", "left_anti"):
