@@ -44,13 +44,14 @@ def _byte_letters() -> dict[int, int]:
 class Encoder(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
+        self.memo = memo
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -98,7 +99,7 @@ class Encoder(dict):
         value = self.old.get(piece)
         if value is None:
             value = self._encoded(piece)
-        if len(self) >= MEMO // 2:  # what is still in use comes back from the old generation
+        if len(self) >= self.memo // 2:  # what is still in use comes back from the old generation
             self.old = dict(self)
             self.clear()
         self[piece] = value
@@ -122,12 +123,12 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _encoders:
+    if path not in _encoders or _encoders[path].memo != memo:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders.clear()
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, memo)
     return _encoders[path]

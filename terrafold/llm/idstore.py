@@ -43,8 +43,8 @@ CUT_MASK = np.uint64(511 << 40)
 MIN_CHUNK, MAX_CHUNK, WINDOW = 64, 4096, 16
 #: Most documents of a shard, whose roots one task brings together (32 bytes each).
 SHARD_DOCS = 1 << 16
-#: Digests and ids don't repeat within a file: no dictionaries are tried, and the quickest level compresses as well.
-PLAIN = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
+#: Pieces that a worker keeps: nothing else is held while documents are cut, so there is room for more than elsewhere.
+MEMO = 1_600_000
 
 
 def _gear(n: int = 1 << 16) -> np.ndarray:
@@ -128,7 +128,7 @@ def staged(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str,
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunk_ids", pa.list_(pa.binary())), ("payloads", pa.list_(pa.binary()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, kind, end = encoder(tokenizer), "<u2" if width == 2 else "<u4", int(end_id).to_bytes(4, "little")
+        enc, kind, end = encoder(tokenizer, MEMO), "<u2" if width == 2 else "<u4", int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows, held = [], 0
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -153,10 +153,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
     """Writes the store; ``path`` must be new, in a folder that all executors share."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    stage = scratch.write(staged(docs, tokenizer, end_id, width, text, key), "staged", **PLAIN)
+    stage = scratch.write(staged(docs, tokenizer, end_id, width, text, key), "staged")
     pairs = stage.select(F.explode(F.arrays_zip("chunk_ids", "payloads")).alias("c")).select(F.col("c.chunk_ids").alias("chunk_id"), F.col("c.payloads").alias("payload"))
     once = pairs.groupBy("chunk_id").agg(F.first("payload").alias("payload"))
-    once.select("chunk_id", (F.octet_length("payload") / width).cast("long").alias("n_ids"), "payload").write.options(compression="zstd", **PLAIN).parquet(f"{path}/chunks")
+    once.select("chunk_id", (F.octet_length("payload") / width).cast("long").alias("n_ids"), "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunk_ids", pa.list_(pa.binary()))])
