@@ -6,17 +6,16 @@ else, in the same document or another.
 1. Anchors. Every document is streamed once. Of each window, the eight-word phrase with the smallest hash
    is its anchor: equal windows have equal anchors at equal places. Neighbouring windows mostly share theirs, so a
    document gives about one anchor per 15 words. Anchors are counted (combined on the map side); those that
-   occur once cannot belong to a repeated window.
-2. Segments. The words that the windows of a repeated anchor cover are a segment, at most 62 words. Equal
-   segments are counted together, so copies cost a row each only once.
-3. Automata. Segments are dealt to shards of about ``SHARD_BYTES`` by anchor. A shard confirms which windows
-   recur by comparing their words, joins neighbouring ones into passages, compiles these into an Aho-Corasick
-   automaton over word numbers and streams its segments through it. As a shard holds all segments that could hold
-   its passages, every occurrence is located, and work grows with the input, not with its square.
-   An anchor with more than ``HOT`` different segments is not put into one shard: its segments are split into
-   windows, which are counted by their own digest.
-4. Located ranges go back to their documents by segment digest and are cut out. Documents without a repeated
-   anchor are never shuffled as texts.
+   occur once cannot belong to a repeated window, and documents without others are done.
+2. Passages. The words that the windows of a repeated anchor cover are a segment, at most 62 words. Equal segments are
+   counted together, so copies cost a row each only once. Per anchor the windows of all its segments are counted by their words;
+   runs of windows that recur are passages. This confirms what repeats, not where: segments carry no document.
+3. Automata. The documents that are left are dealt to shards of about ``SHARD_BYTES``. A shard gets the passages of all anchors
+   that its documents hold, compiles them into an Aho-Corasick automaton over word numbers and streams its documents through it,
+   every word of them: all places of all passages are covered, and their words go. A passage goes to the shards that can
+   hold it and to no other, so work grows with the input; all documents through all passages would grow with its square.
+   An anchor with more than ``HOT`` different segments could send many passages to many shards. Its segments are split into
+   windows, counted by digest in tables that Spark can split, and the places found are sent to the documents' shards instead.
 
 Defined results: a null or empty text has no words; fewer words than a window are all kept; a repeated row (same
 id and text) is a document of its own, whose windows also start in its twin; a null doc_id is allowed; other
@@ -137,145 +136,164 @@ def _anchors(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(texts: DataFrame, window: int, whole: bool) -> DataFrame:
-    """Per repeated anchor of a document: k1, k2, first word, anchor, segment digest and (if ``whole``) words."""
-    kinds = [("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("anchor", pa.int64()), ("name", pa.binary())] + [("segment", pa.binary())] * whole
+    """Per repeated anchor of a row: row, first word, anchor, segment digest and (if ``whole``) words."""
+    kinds = [("row", pa.int64()), ("first", pa.int32()), ("anchor", pa.int64()), ("name", pa.binary())] + [("segment", pa.binary())] * whole
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for k1, k2, x, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for row, x, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 words = x.as_py().encode().split()
                 anchors, first, many = anchored(words, window)
                 for r in sorted(runs.as_py()):
                     a = int(first[r])
                     segment = b" ".join(words[a : a + int(many[r]) + window - 1])
-                    row = (k1, k2, a, int(anchors[r]), hashlib.md5(segment).digest())
-                    out.append((*row, segment) if whole else row)
+                    found = (row, a, int(anchors[r]), hashlib.md5(segment).digest())
+                    out.append((*found, segment) if whole else found)
                 if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    yield _batch(out, schema)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                yield _batch(out, schema)
 
-    return texts.mapInArrow(run, "k1 long, k2 long, first int, anchor long, name binary" + ", segment binary" * whole)
+    return texts.select("row", "text", F.col("runs.run").alias("runs")).mapInArrow(run, "row long, first int, anchor long, name binary" + ", segment binary" * whole)
 
 
-def locate(segments: list[tuple[int, bytes, bytes, int]], window: int = WINDOW) -> list[tuple[bytes, list[int], list[int]]]:
-    """(anchor, name, segment, times) of one shard -> (name, starts, ends) of the repeated passages in each segment."""
-    import ahocorasick
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    number: dict[bytes, int] = {}
-    streams, passages = [], set()
+
+def confirm(segments: list[tuple[int, bytes, int]], window: int = WINDOW) -> set[tuple[int, bytes]]:
+    """(anchor, segment, times) of whole anchors -> (anchor, passage): runs of windows that occur more than once."""
+    passages: set[tuple[int, bytes]] = set()
     segments.sort(key=lambda s: s[0])
     at = 0
     while at < len(segments):
-        to = at
+        to, group, seen = at, [], {}
         while to < len(segments) and segments[to][0] == segments[at][0]:
+            words = segments[to][1].split(b" ")
+            windows = [b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)]
+            group.append((words, windows))
+            for w in windows:
+                seen[w] = seen.get(w, 0) + segments[to][2]
             to += 1
-        seen: dict[tuple[int, ...], int] = {}
-        group = []
-        for _, name, segment, times in segments[at:to]:
-            ids = tuple(number.setdefault(w, len(number)) for w in segment.split(b" "))
-            group.append((name, ids))
-            for k in range(len(ids) - window + 1):
-                seen[ids[k : k + window]] = seen.get(ids[k : k + window], 0) + times
-        for _, ids in group:
-            start = None
-            for k in range(len(ids) - window + 2):
-                again = k <= len(ids) - window and seen[ids[k : k + window]] > 1
-                if again and start is None:
-                    start = k
-                elif not again and start is not None:
-                    passages.add(ids[start : k - 1 + window])
-                    start = None
-        streams += group
+        for words, windows in group:
+            for a, e in _joined([k for k, w in enumerate(windows) if seen[w] > 1], window):
+                passages.add((segments[at][0], b" ".join(words[a:e])))
         at = to
-    if not passages:
-        return []
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for p in passages:
-        automaton.add_word(p, len(p))
-    automaton.make_automaton()
-    out = []
-    for name, ids in streams:
-        found = sorted((end + 1 - n, end + 1) for end, n in automaton.iter(ids))
-        if found:
-            out.append((name, [a for a, _ in found], [e for _, e in found]))
+    return passages
+
+
+def _joined(starts: list[int], window: int) -> list[tuple[int, int]]:
+    """Ranges of words that runs of neighbouring windows cover; ``starts`` ascend."""
+    out: list[tuple[int, int]] = []
+    for k in starts:
+        if out and out[-1][1] == k - 1 + window:
+            out[-1] = (out[-1][0], k + window)
+        else:
+            out.append((k, k + window))
     return out
 
 
-def _located(counted: DataFrame, n_shards: int, window: int) -> DataFrame:
-    schema = pa.schema([("name", pa.binary()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+def _passages(counted: DataFrame, n_groups: int, window: int) -> DataFrame:
+    schema = pa.schema([("anchor", pa.int64()), ("passage", pa.binary())])
 
-    def shard(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("anchor", "name", "segment", "times")), strict=True))
-        found = locate(rows, window)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else ([], [], []), schema.types, strict=True)], schema=schema)
+    def group(t: pa.Table) -> pa.Table:
+        found = sorted(confirm(list(zip(*(t.column(c).to_pylist() for c in ("anchor", "segment", "times")), strict=True)), window))
+        return pa.Table.from_batches([_batch(found, schema)])
 
-    dealt = counted.select(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard"), "anchor", "name", "segment", "times")
-    return dealt.groupBy("shard").applyInArrow(shard, "name binary, starts array<int>, ends array<int>")
+    dealt = counted.select(F.pmod(F.xxhash64("anchor"), F.lit(n_groups)).alias("group"), "anchor", "segment", "times")
+    return dealt.groupBy("group").applyInArrow(group, "anchor long, passage binary")
 
 
-def _by_window(counted: DataFrame, window: int) -> DataFrame:
-    """The same for segments of hot anchors, window by window."""
+def _by_window(counted: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """(name, starts, ends) of the repeated windows of hot anchors' segments, window by window."""
     words = F.split(F.col("segment").cast("string"), " ")
     cut = counted.select("name", "times", words.alias("w")).select("name", "times", "w", F.explode(F.sequence(F.lit(1), F.size("w") - window + 1)).alias("at"))
     cut = cut.select("name", "times", F.col("at").alias("first"), F.unhex(F.md5(F.array_join(F.slice("w", F.col("at"), F.lit(window)), " "))).alias("digest"))
-    again = cut.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest")
-    return cut.join(again, "digest").groupBy("name").agg(F.collect_list(F.col("first") - 1).alias("starts"), F.collect_list(F.col("first") - 1 + window).alias("ends"))
+    # A table of its own, so that a digest that many segments hold can be split.
+    again = scratch.write(cut.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest"), "again")
+    return cut.join(again, "digest").groupBy("name").agg(F.collect_list(F.col("first") - 1).alias("starts"))
+
+
+def cover(texts: list[list[bytes]], passages: list[bytes]) -> list[np.ndarray]:
+    """Per text which of its words stand in a place of a passage: all texts streamed through one automaton."""
+    import ahocorasick
+
+    number: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for p in set(passages):
+        ids = tuple(number.setdefault(w, len(number) + 1) for w in p.split(b" "))
+        automaton.add_word(ids, len(ids))
+    out = [np.zeros(len(words), bool) for words in texts]
+    if not passages:
+        return out
+    automaton.make_automaton()
+    for words, gone in zip(texts, out, strict=True):
+        for end, n in automaton.iter(tuple(number.get(w, 0) for w in words)):
+            gone[end + 1 - n : end + 1] = True
+    return out
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, hot: int = HOT, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents (doc_id, k1, k2, n_words, sha), the texts with repeated anchors, and their repeated ranges."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    rows = _rows(docs, text, key)
-    every = scratch.write(_anchors(rows, window), "anchors")
+def _texts(docs: DataFrame, every: DataFrame, scratch: Scratch, text: str, key: str, whole: bool) -> DataFrame:
+    """(doc_id, k1, k2, text, runs, row): the rows with repeated anchors (or all, if ``whole``) with their runs."""
     twice = every.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    # A table of its own, so that the join deals out both sides and Spark can split a frequent anchor's rows.
+    # Tables of their own, so that joins deal out both sides and Spark can split what a frequent key has.
     twice = scratch.write(twice, "twice")
-    runs = every.select("k1", "k2", F.posexplode("anchors").alias("run", "anchor")).join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
-    texts = scratch.write(rows.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs"), "texts")
-    counted = _segments(texts, window, True).groupBy("anchor", "name", "segment").agg(F.count(F.lit(1)).alias("times"))
-    counted = scratch.write(counted, "segments")
+    runs = every.select("k1", "k2", F.posexplode("anchors").alias("run", "anchor")).join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "anchor")).alias("runs"))
+    runs = scratch.write(runs, "runs")
+    found = _rows(docs, text, key).join(runs, ["k1", "k2"], "left" if whole else "inner")
+    none = F.array().cast("array<struct<run:int,anchor:bigint>>")
+    return scratch.write(found.select("doc_id", "k1", "k2", "text", F.coalesce("runs", none).alias("runs"), F.monotonically_increasing_id().alias("row")), "texts")
+
+
+def _hints(texts: DataFrame, scratch: Scratch, window: int, shard_bytes: int, hot: int, shard) -> DataFrame:
+    """(shard, passage, row, starts): the passages that a shard's documents may hold, and hot windows' places by row."""
+    counted = scratch.write(_segments(texts, window, True).groupBy("anchor", "name", "segment").agg(F.count(F.lit(1)).alias("times")), "segments")
     size = counted.agg(F.sum(F.octet_length("segment") + 32)).first()[0] or 0
-    hottest = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor")
-    hottest = scratch.write(hottest, "hot")
-    found = _located(counted.join(hottest, "anchor", "left_anti"), max(1, -(-size // shard_bytes)), window)
+    hottest = scratch.write(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "hot")
+    passages = scratch.write(_passages(counted.join(hottest, "anchor", "left_anti"), max(1, -(-size // shard_bytes)), window), "passages")
+    needed = scratch.write(texts.select(shard.alias("shard"), F.explode("runs.anchor").alias("anchor")).distinct(), "needed")
+    hints = needed.join(passages, "anchor").select("shard", "passage", F.lit(None).cast("long").alias("row"), F.lit(None).cast("array<int>").alias("starts"))
     if hottest.head(1):
-        found = found.unionByName(_by_window(counted.join(hottest, "anchor", "left_semi"), window))
-    found = scratch.write(found, "found")
+        found = scratch.write(_by_window(counted.join(hottest, "anchor", "left_semi"), scratch, window), "found")
+        some = texts.select("row", "text", F.explode("runs").alias("r")).join(hottest, F.col("r.anchor") == F.col("anchor"), "left_semi").select("row", F.col("r.run").alias("run")).groupBy("row").agg(F.collect_list("run").alias("own"))
+        own = texts.join(some, "row").select("row", "text", F.transform("own", lambda r: F.struct(r.alias("run"))).alias("runs"))
+        placed = _segments(own, window, False).join(found, "name").select("row", F.transform("starts", lambda x: x + F.col("first")).alias("starts"))
+        hints = hints.unionByName(placed.select(shard.alias("shard"), F.lit(None).cast("binary").alias("passage"), "row", "starts"))
     scratch.drop("segments")
-    placed = _segments(texts, window, False).join(found, "name").select("k1", "k2", F.explode(F.arrays_zip("starts", "ends")).alias("s"), "first")
-    ranges = placed.select("k1", "k2", (F.col("first") + F.col("s.starts")).alias("a"), (F.col("first") + F.col("s.ends")).alias("e")).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "e")).alias("ranges"))
-    return every.select("doc_id", "k1", "k2", "n_words", "sha"), texts.select("k1", "k2", "text"), ranges
+    return hints
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", keep_text: bool = False, **more) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, ``kept`` (its words, one space between)."""
-    every, texts, ranges = repeated_ranges(docs, window, text, key, **more)
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("cut_sha", pa.string())] + [("cut", pa.string())] * keep_text)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k1, k2, x, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                words = x.as_py().encode().split()
-                keep = np.ones(len(words), bool)
-                for r in ranges:
-                    keep[r["a"] : r["e"]] = False
-                kept = b" ".join(words[i] for i in np.flatnonzero(keep).tolist())
-                row = (k1, k2, int((~keep).sum()), hashlib.sha256(kept).hexdigest())
-                rows.append((*row, kept.decode()) if keep_text else row)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    once = texts.dropDuplicates(["k1", "k2"]).join(ranges, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
-    gone = once.mapInArrow(cut, "k1 long, k2 long, n long, cut_sha string" + ", cut string" * keep_text)
-    out = every.join(gone, ["k1", "k2"], "left")
-    columns = ["doc_id", "n_words", F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256")]
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.write(_anchors(_rows(docs, text, key), window), "anchors")
+    texts = _texts(docs, every, scratch, text, key, keep_text)
+    size = texts.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    shard = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // shard_bytes))))
+    hints = _hints(texts, scratch, window, shard_bytes, hot, shard)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep_text)
+
+    def stream(documents: pa.Table, known: pa.Table) -> pa.Table:
+        words = [x.as_py().encode().split() for x in documents.column("text")]
+        gone = cover(words, [p for p in known.column("passage").to_pylist() if p is not None])
+        place = {row: k for k, row in enumerate(documents.column("row").to_pylist())}
+        for row, starts in zip(known.column("row").to_pylist(), known.column("starts").to_pylist(), strict=True):
+            for a in starts or ():
+                gone[place[row]][a : a + window] = True
+        out = []
+        for doc, own, cut in zip(documents.column("doc_id").to_pylist(), words, gone, strict=True):
+            kept = b" ".join(own[i] for i in np.flatnonzero(~cut).tolist())
+            row = (doc, len(own), int(cut.sum()), hashlib.sha256(kept).hexdigest())
+            out.append((*row, kept.decode()) if keep_text else row)
+        return pa.Table.from_batches([_batch(out, schema)])
+
+    dealt = texts.select(shard.alias("shard"), "row", "doc_id", "text").groupBy("shard")
+    streamed = dealt.cogroup(hints.groupBy("shard")).applyInArrow(stream, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
     if keep_text:
-        own = _rows(docs, text, key).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.regexp_replace(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")), r"[\x20\x09-\x0D]+", " ").alias("own"))
-        out = out.join(own, ["k1", "k2"])
-        columns.append(F.coalesce("cut", "own").alias("kept"))
-    return out.select(*columns)
+        return streamed
+    clean = every.join(scratch.read("runs", every.select("k1", "k2")), ["k1", "k2"], "left_anti")
+    return streamed.unionByName(clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
