@@ -1,9 +1,10 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
 A line is boilerplate on a host if it stands on at least ``min_pages`` of its pages and on more than
-``max_ratio`` of them. Pages lose their boilerplate lines; every other line stays, in order. ``clean`` is the rule
-in production: pages with the same text count as one (``by_text``), so copies alone make no line boilerplate, and
-every page loses its boilerplate, whatever share of its lines that is (``max_share`` = 1).
+``max_ratio`` of them. Every page loses its boilerplate lines, whatever share of its lines that is; every other line stays, in
+order. ``clean`` is the rule in production: pages with the same text count as one (``by_text``), so copies alone make no line
+boilerplate. ``MIN_PAGES`` only says what makes a line repeated: on a host of up to 300 pages three different texts are above
+the ratio in any case.
 
 Plan: each page gives one row per different line, as a 64-bit hash, to a map-side combined count per
 (host, hash), so a line on a third of all pages costs a row per task; with ``by_text``, copies are merged per
@@ -28,8 +29,6 @@ from .common import BROADCAST_BYTES, Scratch, col, free_name
 MAX_RATIO = 0.01
 #: What makes a line repeated at all; the ratio decides on every host of 300 pages or more.
 MIN_PAGES = 3
-#: Default of ``drop_boilerplate`` only.
-MAX_SHARE = 0.5
 
 
 def _norm(line):
@@ -47,7 +46,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
     return c.join(t, F.col("c.host").eqNullSafe(F.col("t.host"))).filter(F.col("n_pages") > F.lit(max_ratio) * F.col("total")).select("c.host", "line_hash", "n_pages", "total")
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, max_share: float = MAX_SHARE, by_text: bool = False, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, by_text: bool = False, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``; names given for n_lines and n_dropped add those counts."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
@@ -61,11 +60,9 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     joined = pages.join(right, col(host).eqNullSafe(col(key)), "left")
     lines = F.split(col(text), "\n", -1)
     # The kept lines; null: the text stays as it is.
-    a, b, n = (free_name(pages, f"tf_{x}") for x in ("lines", "kept", "worded"))
+    a, b = (free_name(pages, f"tf_{x}") for x in ("lines", "kept"))
     kept = F.filter(col(a), lambda x: ~F.array_contains(col(drop), F.xxhash64(_norm(x))) | (_norm(x) == ""))
-    worded = F.size(F.filter(col(a), lambda x: _norm(x) != ""))
-    joined = joined.withColumn(a, lines).withColumn(n, worded).withColumn(b, F.when(col(drop).isNotNull(), kept))
-    joined = joined.withColumn(b, F.when(F.size(a) - F.size(b) <= F.lit(max_share) * col(n), col(b)))
+    joined = joined.withColumn(a, lines).withColumn(b, F.when(col(drop).isNotNull(), kept))
     out = [F.when(col(b).isNull(), col(text)).otherwise(F.array_join(b, "\n")).alias(c) if c == text else col(c) for c in pages.columns]
     if n_lines:
         out.append(F.coalesce(F.when(col(text).isNotNull(), F.size(a)), F.lit(0)).cast("long").alias(n_lines))
@@ -76,7 +73,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
 
 def clean(pages: DataFrame, **names: str) -> DataFrame:
     """``drop_boilerplate`` as op9 and the pipeline use it."""
-    return drop_boilerplate(pages, max_share=1.0, by_text=True, **names)
+    return drop_boilerplate(pages, by_text=True, **names)
 
 
 ORACLE_SQL = f"""
