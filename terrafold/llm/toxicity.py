@@ -140,19 +140,28 @@ def _g2(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     return part(pos, n_pos, share) + part(neg, n_neg, share)
 
 
-def pair_terms(rows: list[np.ndarray], left: np.ndarray, spread: np.ndarray, n_terms: int, least: float = PAIR_SCORE, block: int = 512) -> np.ndarray:
+def pair_terms(rows: list[np.ndarray], left: np.ndarray, spread: np.ndarray, n_terms: int, least: float = PAIR_SCORE, block: int = 256) -> np.ndarray:
     """Terms of pairs whose joint presence goes with the residuals: |sum r x_i x_j| of ``least`` deviations or more.
 
     ``left`` has the residuals y - p and ``spread`` the variances p (1 - p). A block of terms at a time: 4 * block bytes a row.
     """
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    row, term = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, term) pairs, some rows at a time."""
+        for at in range(0, len(rows), 1000):
+            own = rows[at : at + 1000]
+            yield np.repeat(np.arange(at, at + len(own), dtype=np.int32), [len(t) for t in own]), np.concatenate(own)
+
     # A pair's score is at most what either term reaches alone, and no bound is below ``least``.
-    alive = np.flatnonzero(np.bincount(term, np.abs(left)[row], n_terms) >= least)
-    own = np.full(n_terms, -1)
-    own[alive] = np.arange(len(alive))
-    keep = own[term] >= 0
-    row, term, n_terms = row[keep], own[term[keep]], len(alive)
+    reach = np.zeros(n_terms)
+    for row, term in parts():
+        reach += np.bincount(term, np.abs(left)[row], n_terms)
+    alive = np.flatnonzero(reach >= least)
+    own = np.full(n_terms, -1, np.int32)
+    own[alive] = np.arange(len(alive), dtype=np.int32)
+    kept = [(row[own[term] >= 0], own[term][own[term] >= 0]) for row, term in parts()]
+    row, term = (np.concatenate([np.empty(0, np.int32), *(k[i] for k in kept)]) for i in (0, 1))
+    del kept
+    n_terms = len(alive)
     order = np.argsort(term, kind="stable")
     row, term = row[order], term[order]
 
@@ -205,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], names=["place", "neg", "pos"])
 
     sums = rows.select("y", "places").mapInArrow(tally, "place long, neg long, pos long").groupBy("place").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    sums = sums.filter((F.col("neg") + F.col("pos") >= 3) | (F.col("place") == DIMS)).toPandas()  # at most DIMS rows
+    sums = sums.filter((F.col("neg") + F.col("pos") >= 3) | (F.col("place") == DIMS)).toArrow().to_pandas()  # at most DIMS rows
     whole = sums[sums.place == DIMS]
     n_neg, n_pos = (int(whole[c].sum()) for c in ("neg", "pos"))
     if not n_neg or not n_pos:
@@ -224,10 +233,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             found = [x[x >= 0] for x in (number[np.asarray(own.values)] for own in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "terms"])
 
-    fitted = rows.mapInArrow(renumber, "id long, y int, terms array<int>").toPandas()  # at most `sample` rows
-    fitted = fitted.sort_values(["id", "y"])  # a row per id and label
-    x, y = [np.asarray(t, np.int32) for t in fitted.terms], fitted.y.to_numpy()
-    del fitted
+    fitted = rows.mapInArrow(renumber, "id long, y int, terms array<int>").toArrow().combine_chunks()  # at most `sample` rows
+    ids, y = (fitted.column(c).to_numpy() for c in ("id", "y"))
+    order = np.lexsort((y, ids))  # a row per id and label
+    lists = fitted.column("terms").chunk(0) if len(fitted) else pa.array([], pa.list_(pa.int32()))
+    flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+    x, y = [flat[ends[k] : ends[k + 1]] for k in order.tolist()], y[order]
 
     def fit(terms: np.ndarray) -> tuple[Machine, list[np.ndarray]]:
         own = np.full(len(kept), -1)
