@@ -166,7 +166,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def confirm(segments: list[tuple[int, bytes, int]], window: int = WINDOW) -> set[tuple[int, bytes]]:
-    """(anchor, segment, times) of whole anchors -> (anchor, passage): runs of windows that occur more than once."""
+    """(anchor, segment, times) of whole anchors -> (anchor, passage): runs of windows that occur more than once.
+
+    Texts that differ here and there cut one text into many overlapping runs. Where an anchor's runs have more words than
+    its recurring windows, the windows themselves are its passages: they cover the same places, one at each.
+    """
     passages: set[tuple[int, bytes]] = set()
     segments.sort(key=lambda s: s[0])
     at = 0
@@ -179,9 +183,9 @@ def confirm(segments: list[tuple[int, bytes, int]], window: int = WINDOW) -> set
             for w in windows:
                 seen[w] = seen.get(w, 0) + segments[to][2]
             to += 1
-        for words, windows in group:
-            for a, e in _joined([k for k, w in enumerate(windows) if seen[w] > 1], window):
-                passages.add((segments[at][0], b" ".join(words[a:e])))
+        runs = {b" ".join(words[a:e]): e - a for words, windows in group for a, e in _joined([k for k, w in enumerate(windows) if seen[w] > 1], window)}
+        again = [w for w, n in seen.items() if n > 1]
+        passages |= {(segments[at][0], p) for p in (runs if sum(runs.values()) <= window * len(again) else again)}
         at = to
     return passages
 

@@ -376,6 +376,13 @@ def test_substring_dedup(spark, docs, rows, empty, odd):
         found = phrases.remove_repeats(docs, keep_text=True, **more).collect()
         assert by_key(found, "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == want
     assert phrases.remove_repeats(empty).count() == 0
+    # near copies with edits here and there: recurring windows instead of many overlapping runs
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(62)]
+    edited = [[w if rng.random() > 0.03 else f"x{i}" for w in base] for i in range(40)]
+    found = phrases.confirm([(1, " ".join(e).encode(), 1) for e in edited])
+    counts = Counter(" ".join(e[k : k + 35]).encode() for e in edited for k in range(28))
+    assert {p for _, p in found} == {w for w, n in counts.items() if n > 1}
     assert [r.n_removed for r in phrases.remove_repeats(odd).collect()] == [0, 0]
 
 
