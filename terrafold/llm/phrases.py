@@ -10,8 +10,9 @@ else, in the same document or another.
 2. Passages. The words that the windows of a repeated anchor cover are a segment, at most 62 words. Equal segments are
    counted together, so copies cost a row each only once. Per anchor the windows of all its segments are counted by their words;
    runs of windows that recur are passages. This confirms what repeats, not where: segments carry no document.
-3. Automata. The documents that are left are dealt to shards of about ``SHARD_BYTES``. A shard gets the passages of all anchors
-   that its documents hold, compiles them into an Aho-Corasick automaton over word numbers and streams its documents through it,
+3. Automata. The documents that are left are dealt to shards of about ``SHARD_WORDS`` words by their smallest repeated anchor, so
+   that those that share passages mostly meet; an anchor that leads more is dealt to several shards. A shard gets the passages
+   of all anchors that its documents hold, compiles them into an Aho-Corasick automaton over word numbers and streams its documents through it,
    every word of them: all places of all passages are covered, and their words go. A passage goes to the shards that can
    hold it and to no other, so work grows with the input; all documents through all passages would grow with its square.
    An anchor with more than ``HOT`` different segments could send many passages to many shards. Its segments are split into
@@ -37,6 +38,8 @@ from .common import Scratch, col
 WINDOW = 35
 PHRASE = 8
 SHARD_BYTES = 4 << 20
+#: Words of the documents of a shard.
+SHARD_WORDS = 1 << 19
 HOT = 4096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -241,44 +244,50 @@ def cover(texts: list[list[bytes]], passages: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _texts(docs: DataFrame, every: DataFrame, scratch: Scratch, text: str, key: str, whole: bool) -> DataFrame:
-    """(doc_id, k1, k2, text, runs, row): the rows with repeated anchors (or all, if ``whole``) with their runs."""
+def _texts(docs: DataFrame, every: DataFrame, scratch: Scratch, text: str, key: str, whole: bool, shard_words: int) -> DataFrame:
+    """(doc_id, text, runs, row, shard): the rows with repeated anchors (or all, if ``whole``) with their runs."""
     twice = every.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     # Tables of their own, so that joins deal out both sides and Spark can split what a frequent key has.
     twice = scratch.write(twice, "twice")
-    runs = every.select("k1", "k2", F.posexplode("anchors").alias("run", "anchor")).join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "anchor")).alias("runs"))
-    runs = scratch.write(runs, "runs")
-    found = _rows(docs, text, key).join(runs, ["k1", "k2"], "left" if whole else "inner")
+    found = every.select("k1", "k2", "n_words", F.posexplode("anchors").alias("run", "anchor")).join(twice, "anchor")
+    # Repeated rows have the same runs: each counts once per row.
+    runs = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("run", "anchor")).alias("runs"), F.min("anchor").alias("lead"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("many"))
+    runs = scratch.write(runs.select("k1", "k2", "runs", "lead", (F.col("n") * F.col("many") / F.size("runs")).cast("long").alias("words")), "runs")
+    n_shards = max(1, -(-((every if whole else runs).agg(F.sum("n_words" if whole else "words")).first()[0] or 0) // shard_words))
+    leads = scratch.write(runs.groupBy("lead").agg(F.sum("words").alias("n")).filter(F.col("n") > shard_words).select("lead", F.ceil(F.col("n") / shard_words).cast("int").alias("salts")), "leads")
+    own = scratch.write(runs.join(leads, "lead", "left").select("k1", "k2", "runs", "lead", F.coalesce("salts", F.lit(1)).alias("salts")), "dealt")
     none = F.array().cast("array<struct<run:int,anchor:bigint>>")
-    return scratch.write(found.select("doc_id", "k1", "k2", "text", F.coalesce("runs", none).alias("runs"), F.monotonically_increasing_id().alias("row")), "texts")
+    row = F.monotonically_increasing_id()
+    found = _rows(docs, text, key).join(own, ["k1", "k2"], "left" if whole else "inner").withColumn("row", row)
+    shard = F.when(F.col("lead").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("lead", F.pmod(F.xxhash64("row"), F.col("salts"))))
+    return scratch.write(found.select("doc_id", "text", F.coalesce("runs", none).alias("runs"), "row", F.pmod(shard, F.lit(n_shards)).alias("shard")), "texts")
 
 
-def _hints(texts: DataFrame, scratch: Scratch, window: int, shard_bytes: int, hot: int, shard) -> DataFrame:
+def _hints(texts: DataFrame, scratch: Scratch, window: int, shard_bytes: int, hot: int) -> DataFrame:
     """(shard, passage, row, starts): the passages that a shard's documents may hold, and hot windows' places by row."""
     counted = scratch.write(_segments(texts, window, True).groupBy("anchor", "name", "segment").agg(F.count(F.lit(1)).alias("times")), "segments")
     size = counted.agg(F.sum(F.octet_length("segment") + 32)).first()[0] or 0
     hottest = scratch.write(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "hot")
     passages = scratch.write(_passages(counted.join(hottest, "anchor", "left_anti"), max(1, -(-size // shard_bytes)), window), "passages")
-    needed = scratch.write(texts.select(shard.alias("shard"), F.explode("runs.anchor").alias("anchor")).distinct(), "needed")
+    needed = scratch.write(texts.select("shard", F.explode("runs.anchor").alias("anchor")).distinct(), "needed")
     hints = needed.join(passages, "anchor").select("shard", "passage", F.lit(None).cast("long").alias("row"), F.lit(None).cast("array<int>").alias("starts"))
     if hottest.head(1):
         found = scratch.write(_by_window(counted.join(hottest, "anchor", "left_semi"), scratch, window), "found")
-        some = texts.select("row", "text", F.explode("runs").alias("r")).join(hottest, F.col("r.anchor") == F.col("anchor"), "left_semi").select("row", F.col("r.run").alias("run")).groupBy("row").agg(F.collect_list("run").alias("own"))
-        own = texts.join(some, "row").select("row", "text", F.transform("own", lambda r: F.struct(r.alias("run"))).alias("runs"))
+        some = texts.select("row", F.explode("runs").alias("r")).join(hottest, F.col("r.anchor") == F.col("anchor"), "left_semi").select("row", F.col("r.run").alias("run")).groupBy("row").agg(F.collect_list("run").alias("own"))
+        own = texts.join(scratch.write(some, "hot_runs"), "row").select("row", "text", F.transform("own", lambda r: F.struct(r.alias("run"))).alias("runs"))
         placed = _segments(own, window, False).join(found, "name").select("row", F.transform("starts", lambda x: x + F.col("first")).alias("starts"))
-        hints = hints.unionByName(placed.select(shard.alias("shard"), F.lit(None).cast("binary").alias("passage"), "row", "starts"))
+        placed = placed.join(texts.select("row", "shard"), "row")
+        hints = hints.unionByName(placed.select("shard", F.lit(None).cast("binary").alias("passage"), "row", "starts"))
     scratch.drop("segments")
     return hints
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", keep_text: bool = False, shard_bytes: int = SHARD_BYTES, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, ``kept`` (its words, one space between)."""
     scratch = Scratch(docs.sparkSession)
     every = scratch.write(_anchors(_rows(docs, text, key), window), "anchors")
-    texts = _texts(docs, every, scratch, text, key, keep_text)
-    size = texts.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    shard = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // shard_bytes))))
-    hints = _hints(texts, scratch, window, shard_bytes, hot, shard)
+    texts = _texts(docs, every, scratch, text, key, keep_text, shard_words)
+    hints = _hints(texts, scratch, window, shard_bytes, hot)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep_text)
 
     def stream(documents: pa.Table, known: pa.Table) -> pa.Table:
@@ -295,7 +304,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
             out.append((*row, kept.decode()) if keep_text else row)
         return pa.Table.from_batches([_batch(out, schema)])
 
-    dealt = texts.select(shard.alias("shard"), "row", "doc_id", "text").groupBy("shard")
+    dealt = texts.select("shard", "row", "doc_id", "text").groupBy("shard")
     streamed = dealt.cogroup(hints.groupBy("shard")).applyInArrow(stream, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
     if keep_text:
         return streamed

@@ -372,7 +372,7 @@ def test_substring_dedup(spark, docs, rows, empty, odd):
                 keep[a : a + 35] = [False] * 35
         kept = " ".join(x for x, k in zip(w, keep, strict=True) if k)
         want[i, len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest(), kept] += 1
-    for more in ({}, {"hot": 0}, {"shard_bytes": 500}):
+    for more in ({"shard_words": 300}, {"hot": 0}, {"shard_bytes": 500, "shard_words": 40}):
         found = phrases.remove_repeats(docs, keep_text=True, **more).collect()
         assert by_key(found, "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == want
     assert phrases.remove_repeats(empty).count() == 0
