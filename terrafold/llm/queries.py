@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and the corpus pipeline, with production parameters, over whole tables."""
+"""The queries op1 to op13 and the corpus pipeline, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, idstore, linedup, packing, phrases, quality, rollups, secrets, simhash, toxicity
+from . import chat, decontam, idstore, infill, linedup, packing, phrases, quality, resample, rollups, secrets, simhash, toxicity
 from .common import Scratch, tables
 
 
@@ -82,5 +82,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_substring_dedup)}
-ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as it is or cut into prefix, middle and suffix, with what is rebuilt from the output."""
+    return infill.digests(infill.fill_in_middle(tables(spark, sf_dir, "documents")))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that is full of control strings, formatted and read back."""
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    turns = tables(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat.digests(chat.format_chats(turns))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight toward the benchmark's distribution, and the rank of a quarter of the longer ones."""
+    return resample.resample(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+ALL = (op1_toxicity, op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_substring_dedup, op11_fill_in_middle, op12_chat_format, op13_importance_resampling)
+QUERIES = {f.__name__: f for f in ALL}
+ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL, "op11_fill_in_middle": infill.ORACLE_SQL, "op12_chat_format": chat.ORACLE_SQL}
