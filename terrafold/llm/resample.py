@@ -38,7 +38,7 @@ from .common import Scratch, col
 
 BUCKETS, LEAST_WORDS, PER_CENT, SEED = 10_000, 20, 25, 7
 #: Counts in a block, and bytes of text that are cut into words at a time.
-BLOCK, STEP = 1 << 20, 1 << 20
+BLOCK, STEP = 1 << 18, 1 << 18
 _WORD, _REST = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[0-9A-Za-z\x80-\xff]*")
 _CSR = "ids array<long>, starts array<int>, buckets array<int>, counts array<int>, features array<long>"
 _CSR_ARROW = pa.schema([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("features", pa.list_(pa.int64()))])
