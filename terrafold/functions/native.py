@@ -24,6 +24,13 @@ def point_box(p: Column) -> Column:
     return st_make_envelope(p["x"], p["y"], p["x"], p["y"])
 
 
+def box_ordered(b: Column) -> Column:
+    """A box with its lower ordinates first, whatever the order that they were given in."""
+    one = [F.least(b["xmin"], b["xmax"]), F.least(b["ymin"], b["ymax"]), F.greatest(b["xmin"], b["xmax"]), F.greatest(b["ymin"], b["ymax"])]
+    fields = [c.alias(n) for c, n in zip(one, ("xmin", "ymin", "xmax", "ymax"), strict=True)]
+    return F.when(b["xmin"].isNotNull() & b["ymin"].isNotNull() & b["xmax"].isNotNull() & b["ymax"].isNotNull(), F.struct(*fields, b["srid"].alias("srid")))
+
+
 def box_area(b: Column) -> Column:
     return (b["xmax"] - b["xmin"]) * (b["ymax"] - b["ymin"])
 
