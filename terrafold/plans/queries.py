@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as O
 from ..functions import call, native, register_all
+from ..sql import spatial_sql
 
 
 def w(template: str) -> str:
@@ -286,6 +287,44 @@ def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("k").agg(F.count("o").alias("n"))
 
 
+def _views(spark: SparkSession, sf_dir: str) -> None:
+    boxes(spark, sf_dir).join(parts(spark, sf_dir), "k").createOrReplaceTempView("tf_boxes")
+    dots(spark, sf_dir).createOrReplaceTempView("tf_dots")
+
+
+def sql_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: an inner join by a predicate, an equal column, one-sided terms and a rest."""
+    _views(spark, sf_dir)
+    return spatial_sql(spark, "SELECT k, count(*) AS n, sum(o) AS total FROM tf_boxes b JOIN tf_dots d ON ST_Intersects(b.box, d.pt) AND b.k % 3 = d.o % 3 AND b.w > 5 AND d.o % 7 <> 1 AND b.k <> d.o GROUP BY k")
+
+
+def sql_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: every box with its orders, by calls as arguments and a one-sided term that keeps boxes from having any."""
+    _views(spark, sf_dir)
+    return spatial_sql(spark, "SELECT k, count(o) AS n, coalesce(min(o), -1) AS first FROM tf_boxes b LEFT JOIN tf_dots d ON ST_Covers(ST_Expand(b.box, 2), d.pt) AND b.w % 4 <> 0 AND d.o > b.k GROUP BY k")
+
+
+def sql_where_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: tables listed with commas, a distance in WHERE."""
+    _views(spark, sf_dir)
+    return spatial_sql(spark, "SELECT b.k, count(*) AS n FROM tf_boxes b, tf_dots d WHERE ST_Distance(ST_Point(b.x, b.y), d.pt) <= 7 AND d.o % 2 = 0 GROUP BY b.k")
+
+
+def sql_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: the boxes that no order's square meets, and those that some box of their own kind is disjoint from."""
+    _views(spark, sf_dir)
+    alone = "SELECT b.k, 'alone' AS what FROM tf_boxes b LEFT ANTI JOIN tf_dots d ON ST_Intersects(b.box, ST_Expand(d.pt, 1)) AND d.o % 50 = 0"
+    apart = "SELECT b.k, 'apart' AS what FROM tf_boxes b LEFT SEMI JOIN tf_boxes c ON ST_Disjoint(b.box, c.box) AND b.x = c.x"
+    return spatial_sql(spark, f"{alone} UNION ALL {apart}")
+
+
+def sql_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: orders inside a constant triangle, with native measures of their structs."""
+    _views(spark, sf_dir)
+    text = "SELECT o, ST_X(pt) AS x, ST_Y(ST_Translate(pt, 1, 2)) AS y, ST_Area(ST_Expand(pt, 2)) AS a, round(ST_Distance(pt, ST_Point(3, 4)), 6) AS far, ST_BBoxIntersects(pt, ST_MakeEnvelope(0, 0, 300, 200)) AS low FROM tf_dots"
+    return spatial_sql(spark, f"{text} WHERE ST_Within(pt, 'POLYGON((100 100,700 100,700 700,100 100))') AND ST_DWithin(pt, ST_GeomFromText('POINT(600 400)'), 250)")
+
+
 IN_BOX = "p.x <= o.ox AND o.ox <= p.x + p.w AND p.y <= o.oy AND o.oy <= p.y + p.w"
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "st_dump": (st_dump, f"WITH b AS ({BASE}) SELECT k, unnest([{POINT}, {w('POINT({x+w} {y})')}, {MIDDLE}, {w('POINT({x} {y+w})')}]) AS r FROM b"),
@@ -298,6 +337,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "spatial_join_dwithin": (join_dwithin, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 25 GROUP BY k"),
     "spatial_join_bboxintersects": (join_boxes, f"WITH p AS ({BASE}) SELECT a.k, b.k AS k2 FROM p a JOIN p b ON a.k < b.k AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.w AND b.y <= a.y + a.w"),
     "spatial_join_covers": (join_exact, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON {IN_BOX} AND oy - y <= ox - x GROUP BY k"),
+    "spatial_sql_join": (sql_join, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n, CAST(sum(o) AS BIGINT) AS total FROM p JOIN o ON {IN_BOX} AND k % 3 = o % 3 AND w > 5 AND o % 7 <> 1 AND k <> o GROUP BY k"),
+    "spatial_sql_left_join": (sql_left_join, f"WITH p AS ({BASE}), o AS ({DOT}), m AS (SELECT k, count(*) AS n, min(o) AS first FROM p JOIN o ON x - 2 <= ox AND ox <= x + w + 2 AND y - 2 <= oy AND oy <= y + w + 2 AND w % 4 <> 0 AND o > k GROUP BY k) SELECT k, coalesce(n, 0) AS n, coalesce(first, -1) AS first FROM p LEFT JOIN m USING (k)"),
+    "spatial_sql_where_join": (sql_where_join, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p, o WHERE (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 49 AND o % 2 = 0 GROUP BY k"),
+    "spatial_sql_anti_join": (sql_anti_join, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, 'alone' AS what FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o % 50 = 0 AND p.x <= ox + 1 AND ox - 1 <= p.x + p.w AND p.y <= oy + 1 AND oy - 1 <= p.y + p.w) UNION ALL SELECT k, 'apart' AS what FROM p WHERE EXISTS (SELECT 1 FROM p c WHERE c.x = p.x AND (c.y > p.y + p.w OR p.y > c.y + c.w))"),
+    "spatial_sql_within": (sql_within, f"WITH o AS ({DOT}) SELECT o, CAST(ox AS DOUBLE) AS x, CAST(oy + 2 AS DOUBLE) AS y, CAST(16 AS DOUBLE) AS a, round(sqrt(CAST((ox - 3) * (ox - 3) + (oy - 4) * (oy - 4) AS DOUBLE)), 6) AS far, ox <= 300 AND oy <= 200 AS low FROM o WHERE ox < 700 AND oy > 100 AND oy < ox AND (ox - 600) * (ox - 600) + (oy - 400) * (oy - 400) <= 62500"),
     "spatial_join_left": (join_left, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(o) AS n FROM p LEFT JOIN o ON {IN_BOX} GROUP BY k"),
 }
 
