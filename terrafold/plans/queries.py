@@ -251,6 +251,20 @@ def st_cluster_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(first, "cluster").select("k", "first")
 
 
+def st_cluster_kmeans_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, by the form for partitions that are too large for a task."""
+    p = parts(spark, sf_dir).select("k", native.st_point((F.col("k") % 3) * 10000 + F.col("x"), F.col("y")).alias("pt"))
+    found = O.cluster_kmeans(p, "pt", 3, limit=0)
+    return found.join(found.groupBy("cluster").agg(F.min("k").alias("first")), "cluster").select("k", "first")
+
+
+def st_mem_union_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of 7 at every seventh (x, y) of the parts: one union over the whole table."""
+    register_all(spark)
+    p = parts(spark, sf_dir).selectExpr(w("POLYGON(({x} {y},{x+7} {y},{x+7} {y+7},{x} {y+7},{x} {y}))").replace("(x)", "(x - x % 7)").replace("(y)", "(y - y % 7)").replace("(x+7)", "(x - x % 7 + 7)").replace("(y+7)", "(y - y % 7 + 7)") + " AS geom")
+    return O.union_by(p, [], "geom", "u").selectExpr("round(ST_Area(u), 6) AS area", "ST_XMin(u) AS xmin", "ST_YMax(u) AS ymax")
+
+
 def st_cluster_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).select("k", native.st_point((F.col("k") % 10) * 10000 + F.col("k"), F.lit(0)).alias("pt"), (F.col("k") % 2).alias("side"))
     found = O.cluster_dbscan(p, "pt", 100.0, 2, by=["side"])
@@ -332,6 +346,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "st_collect": (st_collect, f"WITH b AS ({BASE}) SELECT k % 10 AS g, CAST(count(*) AS INTEGER) AS n, CAST(sum(w * w) AS DOUBLE) AS area FROM b GROUP BY 1"),
     "st_memunion": (st_mem_union, "WITH b AS (SELECT DISTINCT p_partkey % 20 AS g, 5 * (p_partkey % 50) AS s FROM part), c AS (SELECT g, s, lag(s) OVER (PARTITION BY g ORDER BY s) AS before FROM b) SELECT g, CAST(sum(10 * CASE WHEN before IS NULL OR s - before > 10 THEN 10 ELSE s - before END) AS DOUBLE) AS area FROM c GROUP BY g"),
     "st_clusterkmeans": (st_cluster_kmeans, "SELECT p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_partkey % 3) AS first FROM part"),
+    "st_clusterkmeans_spread": (st_cluster_kmeans_spread, "SELECT p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_partkey % 3) AS first FROM part"),
+    "st_memunion_tiles": (st_mem_union_tiles, f"WITH b AS ({BASE}), t AS (SELECT DISTINCT x - x % 7 AS x, y - y % 7 AS y FROM b) SELECT CAST(49 * count(*) AS DOUBLE) AS area, CAST(min(x) AS DOUBLE) AS xmin, CAST(max(y) + 7 AS DOUBLE) AS ymax FROM t"),
     "st_clusterdbscan": (st_cluster_dbscan, "SELECT p_partkey AS k, min(p_partkey) OVER (PARTITION BY p_partkey % 10) AS first FROM part"),
     "spatial_join_intersects": (join_contains, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n, CAST(sum(o) AS BIGINT) AS total FROM p JOIN o ON {IN_BOX} GROUP BY k"),
     "spatial_join_dwithin": (join_dwithin, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p JOIN o ON (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 25 GROUP BY k"),
