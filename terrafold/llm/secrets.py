@@ -27,6 +27,9 @@ from .common import Scratch, col, free_name
 #: Code points that may lie between two parts of one credential.
 SCOPE = 200
 
+#: Matches that are walked in one block.
+WALK = 512
+
 #: Fixed values of the base kinds, in their listed order: pattern, the group whose length counts, least length.
 BASE = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -61,12 +64,17 @@ def _spans(kind: str, pattern: str, text: str, low: str, group: int = 0, least:
     hint = " OR ".join(f"contains({low}, '{h}')" for h in HINTS[kind]) if kind in HINTS else f"{text} RLIKE {p}"
     none = "CAST(array() AS array<struct<first:int,last:int,rank:int>>)"
     sizes = f"transform(regexp_extract_all({text}, {p}, {group}), x -> length(x))" if least else f"transform(regexp_extract_all({text}, {p}, 0), x -> 9999)"
-    walk = f"""aggregate(
-      arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), transform(regexp_extract_all({text}, {p}, 0), x -> length(x)), {sizes}),
-      named_struct('at', 0, 'out', {none}),
-      (a, x) -> named_struct('at', a.at + x.`0` + coalesce(x.`1`, 0),
-        'out', IF(coalesce(x.`2`, 0) >= {max(1, least)}, concat(a.out, array(named_struct('first', a.at + x.`0`, 'last', a.at + x.`0` + x.`1`, 'rank', {ORDER[kind]}))), a.out)),
-      a -> a.out)"""
+    # A list that grows by one is copied each time, so matches are walked in blocks and the blocks' lists put together: linear in all but the blocks.
+    walk = f"""flatten(transform(
+      array(arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), transform(regexp_extract_all({text}, {p}, 0), x -> length(x)), {sizes})),
+      z -> aggregate(
+        transform(sequence(0, (size(z) - 1) div {WALK}), k -> slice(z, k * {WALK} + 1, {WALK})),
+        named_struct('at', 0, 'outs', array({none})),
+        (a, block) -> aggregate(block, named_struct('at', a.at, 'out', {none}),
+          (i, x) -> named_struct('at', i.at + x.`0` + coalesce(x.`1`, 0),
+            'out', IF(coalesce(x.`2`, 0) >= {max(1, least)}, concat(i.out, array(named_struct('first', i.at + x.`0`, 'last', i.at + x.`0` + x.`1`, 'rank', {ORDER[kind]}))), i.out)),
+          i -> named_struct('at', i.at, 'outs', IF(size(i.out) = 0, a.outs, concat(a.outs, array(i.out))))),
+        a -> flatten(a.outs))))"""
     return f"CASE WHEN {hint} THEN {walk} ELSE {none} END"
 
 
