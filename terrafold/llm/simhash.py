@@ -12,11 +12,13 @@ four. Within a key the whole chain condition is applied before the Hamming check
 
 ``near_copies`` (the pipeline's stage): texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Such
 texts differ in about 15 % of their bits, too many for equal segments to be certain in 64 bits, so the fingerprint has
-``WIDE`` = 512 bits in a ring of 32 segments. Texts meet where a segment is equal, the chain from there must keep budgets
-proportional to ``FAR`` = 102 bits, then the full distance. Pairs within 31 bits are always found; one at distance d is
-missed with probability (1 - (1 - d/512)^16)^32: 2 % at 64 bits, 7 % at 73, the usual distance at a similarity of 0.8. Up to
+``WIDE`` = 512 bits. Texts meet where a segment of it is equal, the chain from there must keep budgets
+proportional to ``FAR`` = 102 bits, then the full distance. Segments lengthen with the corpus so that a key holds 16 texts at most on average (``SEGMENTS``): 32
+segments of 16 bits, 128 of 20, 192 of 24 or 384 of 28, over several arrangements of the bits. Of pairs at 73 bits, the usual distance at a
+similarity of 0.8, these find 96, 99, 98 and 98 % (simulated), of those at 64 bits over 99 %, all within 31. Up to
 ``SURE`` bits (over three deviations below the distance that a similarity of 0.8 gives) a pair is a link; beyond, the shingle
-sets of both texts are compared.
+sets of both texts are compared. First the shortest candidates that span what all of a key's candidates connect are compared; then, wherever
+one of these failed, all candidates between texts that are still in different classes. So no candidate that would join two classes is left out.
 
 Equal fingerprints are one node, so copies cost one aggregation. A key with more than ``BLOCK`` fingerprints is
 split into blocks and each pair of blocks is a group of its own. A group gives at most one edge per
@@ -54,7 +56,9 @@ KEY_BITS = 40
 #: Near copies: words of a shingle, least Jaccard similarity, and the wide fingerprint.
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-WIDE, SEGMENTS = 512, 32
+WIDE = 512
+#: (most texts, bits of a segment, bytes from a segment's start to the next one's, arrangements of the bits).
+SEGMENTS = ((1 << 20, 16, 2, 1), (1 << 24, 20, 1, 2), (1 << 28, 24, 1, 3), (1 << 62, 28, 1, 6))
 #: Bits within which a pair is a link, and beyond which it is none.
 SURE, FAR = 51, 102
 #: Groups up to this size are compared pair by pair at once.
@@ -226,8 +230,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, text: str = "text",
 
 
 def _budgets() -> np.ndarray:
-    """Most differing bits of chains of 4, 8, ... segments."""
-    return np.arange(1, WIDE // 64 + 1) * 4 * FAR // SEGMENTS
+    """Most differing bits of chains of 64, 128, ... bits."""
+    return np.arange(1, WIDE // 64 + 1) * 64 * FAR // WIDE
 
 
 def _apart(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +246,7 @@ def _apart(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     return rows, total
 
 
-def shortest(fps: np.ndarray, pairs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def shortest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (distance, i, j) the shortest that span what all of them connect."""
     root: dict[int, int] = {}
 
@@ -262,7 +266,7 @@ def shortest(fps: np.ndarray, pairs: list[tuple[int, int, int]]) -> list[tuple[i
 
 
 def _large_group(fps: np.ndarray) -> list[tuple[int, int, int]]:
-    """(distance, i, j) for one large group: a forest of its sure links, then each node's nearest outside its tree."""
+    """(distance, i, j) for one large group: a forest of its sure links, then the shortest that span what connects its trees."""
     n, edges = len(fps), []
     tree, left = np.full(n, -1), np.arange(n)
     while len(left):
@@ -277,44 +281,62 @@ def _large_group(fps: np.ndarray) -> list[tuple[int, int, int]]:
                 tree[left[hit]] = top
                 frontier += left[hit].tolist()
                 left = left[~hit]
-    biggest = np.bincount(tree).argmax()
-    for at in np.flatnonzero(tree != biggest).tolist():
-        others = np.flatnonzero(tree != tree[at])
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for at, j, d in _between(fps, tree):
+        ends = (int(min(tree[at], tree[j])), int(max(tree[at], tree[j])))
+        if ends not in best or best[ends] > (d, at, j):
+            best[ends] = (d, at, j)
+    spanning = shortest([(d, *ends) for ends, (d, _, _) in best.items()])
+    return edges + [best[ends] for _, *ends in spanning for ends in [tuple(ends)]]
+
+
+def _between(fps: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(i, j, distance) of the pairs of one group that keep their budgets and are of different classes."""
+    names, own = np.unique(classes, return_inverse=True)
+    biggest = np.bincount(own).argmax()
+    outside = np.flatnonzero(own != biggest)
+    for at in outside.tolist():
+        others = np.flatnonzero((own != own[at]) & ((own == biggest) | (np.arange(len(own)) > at)))
         rows, total = _apart(fps, np.full(len(others), at), others)
-        if len(rows):
-            k = int(total.argmin())
-            edges.append((int(total[k]), at, int(others[rows[k]])))
-    return edges
+        yield from ((at, int(j), int(d)) for j, d in zip(others[rows], total, strict=True))
+
 
+def group_edges(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(node, node, distance) of the candidate links of some groups that lie one after another, turned so that their segment comes first.
 
-def group_edges(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, segments: np.ndarray) -> list[tuple[int, int, int]]:
-    """(node, node, distance) of the candidate links of some groups that lie one after another."""
+    Without ``classes`` the shortest that span what all of a group's candidates connect; with them, all candidates between different classes.
+    """
     group = np.repeat(np.arange(len(sizes)), sizes)
-    turned = fps.copy().view("<u2")
-    for segment in np.unique(segments).tolist():
-        own = segments[group] == segment
-        turned[own] = np.roll(turned[own], -segment, 1)
-    turned = turned.view("<u8")
     ends = np.cumsum(sizes)
     last, found = (ends - 1)[group], []
     small = sizes[group] <= SMALL
     for step in range(1, int(min(sizes.max(initial=0), SMALL))):
-        i = np.flatnonzero(small & (np.arange(len(group)) + step <= last))
+        here = small & (np.arange(len(group)) + step <= last)
+        if classes is not None:
+            here[: len(here) - step] &= classes[: len(here) - step] != classes[step:]
+        i = np.flatnonzero(here)
         if not len(i):
-            break
-        rows, total = _apart(turned, i, i + step)
+            if classes is None:
+                break
+            continue
+        rows, total = _apart(fps, i, i + step)
         found += list(zip(group[i[rows]].tolist(), total.tolist(), i[rows].tolist(), (i[rows] + step).tolist(), strict=True))
-    found.sort()
-    out, at = [], 0
-    while at < len(found):
-        to = at
-        while to < len(found) and found[to][0] == found[at][0]:
-            to += 1
-        out += shortest(turned, [x[1:] for x in found[at:to]])
-        at = to
+    out = []
+    if classes is None:
+        found.sort()
+        at = 0
+        while at < len(found):
+            to = at
+            while to < len(found) and found[to][0] == found[at][0]:
+                to += 1
+            out += shortest([x[1:] for x in found[at:to]])
+            at = to
+    else:
+        out += [x[1:] for x in found]
     for g in np.flatnonzero(sizes > SMALL).tolist():
-        first = int(ends[g] - sizes[g])
-        out += [(d, first + i, first + j) for d, i, j in _large_group(turned[first : ends[g]])]
+        first, end = int(ends[g] - sizes[g]), int(ends[g])
+        more = _large_group(fps[first:end]) if classes is None else [(d, i, j) for i, j, d in _between(fps[first:end], classes[first:end])]
+        out += [(d, first + i, first + j) for d, i, j in more]
     return [(int(nodes[i]), int(nodes[j]), d) for d, i, j in out]
 
 
@@ -335,10 +357,39 @@ def _text_key(text: str):
     return F.xxhash64(F.coalesce(col(text), F.lit("")))
 
 
-def _candidates(nodes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """(u, v, apart) between node numbers, u < v."""
-    bits = [F.shiftleft(F.lit(k).cast("long"), 16).bitwiseOR(F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("long")) for k in range(SEGMENTS)]
-    groups = _dealt(nodes.select("node", "fp", F.explode(F.array(*bits)).alias("k")), scratch, block, "large", "node", "fp")
+def segments_for(n: int) -> tuple[int, int, int]:
+    """Bits of a segment, bytes from start to start, and arrangements for ``n`` texts."""
+    return next(x[1:] for x in SEGMENTS if n <= x[0])
+
+
+def segment_keys(fps: np.ndarray, bits: int, step: int, arrangements: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per segment: each fingerprint's key and the fingerprint turned so that the segment comes first."""
+    flat = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+    for k in range(arrangements):
+        own = np.packbits(flat[:, np.random.default_rng(k).permutation(WIDE)], axis=1, bitorder="little") if k else fps.view(np.uint8)
+        for j, start in enumerate(range(0, WIDE // 8, step)):
+            turned = np.ascontiguousarray(np.roll(own, -start, 1))
+            head = turned[:, :4].copy().view("<u4")[:, 0].astype(np.int64) & ((1 << bits) - 1)
+            yield (k * (WIDE // 8 // step) + j << 32) | head, turned
+
+
+def _candidates(nodes: DataFrame, scratch: Scratch, block: int, segments: tuple[int, int, int], name: str) -> DataFrame:
+    """(u, v, apart) between node numbers, u < v: spanning ones, or, where the nodes have a class, all between different classes."""
+    classed = ["class"] if "class" in nodes.columns else []
+    kept = ["node", "fp", *classed]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 2048):
+                part = b.slice(a, 2048)
+                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+                for keys, turned in segment_keys(fps, *segments):
+                    offsets = pa.py_buffer((np.arange(len(fps) + 1) * (WIDE // 8)).astype(np.int32))
+                    fp = pa.Array.from_buffers(pa.binary(), len(fps), [None, offsets, pa.py_buffer(turned)])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), fp, *part.columns[2:]], names=["k", *kept])
+
+    keyed = nodes.select(*kept).mapInArrow(deal, "k long, node long, fp binary" + ", class long" * len(classed))
+    groups = _dealt(keyed, scratch, block, f"large{name}", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +399,7 @@ def _candidates(nodes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
                 lists = own.column(1)
                 flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets)).astype(np.int64)
                 fps = np.frombuffer(b"".join(flat.field(1).to_pylist()), "<u8").reshape(-1, WIDE // 64)
-                found = group_edges(np.asarray(flat.field(0)), fps, sizes, np.asarray(own.column(0)) >> 16)
+                found = group_edges(np.asarray(flat.field(0)), fps, sizes, np.asarray(flat.field(2)) if classed else None)
                 if found:
                     u, v, d = np.array(found, np.int64).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["u", "v", "apart"])
@@ -356,10 +407,10 @@ def _candidates(nodes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     return groups.mapInArrow(run, "u long, v long, apart long").distinct()
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, similarity: float, text: str) -> DataFrame:
+def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, similarity: float, text: str, name: str = "") -> DataFrame:
     """Those (u, v) of ``pairs`` whose shingle sets are as similar as asked for. Only texts of such pairs are read again."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    some = scratch.write(nodes.select("node", "text_key").join(ends, "node"), "borderline")
+    some = scratch.write(nodes.select("node", "text_key").join(ends, "node"), f"borderline{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(keys: list, sets: list) -> pa.RecordBatch:
@@ -379,26 +430,45 @@ def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scrat
 
     slim = docs.select(_text_key(text).alias("text_key"), col(text).alias("text"))
     sets = small_side(slim, some.select("text_key"), "text_key", "left_semi").mapInArrow(run, "text_key long, hashes array<long>").dropDuplicates(["text_key"])
-    sets = scratch.write(sets.join(some, "text_key").select("node", "hashes"), "sets")
+    sets = scratch.write(sets.join(some, "text_key").select("node", "hashes"), f"sets{name}")
     a, b = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_set")) for n in ("u", "v"))
     both = pairs.select("u", "v").join(a, "u").join(b, "v")
     same = F.size(F.array_intersect("u_set", "v_set"))
     return both.filter(same >= F.lit(similarity) * (F.size("u_set") + F.size("v_set") - same)).select("u", "v")
 
 
-def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", block: int = BLOCK, scratch: Scratch | None = None, segments: tuple[int, int, int] | None = None) -> DataFrame:
     """Per row: doc_id, text_key and class (a number), by Jaccard similarity of shingle sets."""
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.write(_wide(docs, shingle, text, key), "wide")
     # A node's number is only ever read from the written table, where it is fixed.
     nodes = scratch.write(rows.groupBy("fp").agg(F.min("text_key").alias("text_key")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = scratch.write(_candidates(nodes, scratch, block), "candidates")
+    segments = segments or segments_for(nodes.count())
+    found = scratch.write(_candidates(nodes, scratch, block, segments, "1"), "candidates")
     close = _similar(docs, found.filter(F.col("apart") > SURE), nodes, scratch, shingle, similarity, text)
-    roots = stars(found.filter(F.col("apart") <= SURE).select("u", "v").unionByName(close), scratch)
-    named = scratch.write(nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("root", "node").alias("class")), "named")
+    links = scratch.write(found.filter(F.col("apart") <= SURE).select("u", "v").unionByName(close), "links")
+    classes = scratch.write(_classes(nodes, stars(links, scratch)), "first_classes")
+    # Where a spanning candidate failed, others may connect what it would have: all between different classes are compared.
+    a, b = (classes.select(F.col("node").alias(n), F.col("class").alias(f"{n}_class")) for n in ("u", "v"))
+    failed = found.join(a, "u").join(b, "v").filter("u_class <> v_class").select("u", "v")
+    if failed.head(1):
+        spans = scratch.write(_classes(nodes, stars(found.select("u", "v"), scratch, "spans")), "spans")
+        where = scratch.write(failed.select(F.col("u").alias("node")).join(spans, "node").select("class").distinct(), "where")
+        again = spans.join(where, "class").select("node").join(nodes.select("node", "fp"), "node").join(classes, "node")
+        more = _candidates(scratch.write(again, "again"), scratch, block, segments, "2").join(found.select("u", "v"), ["u", "v"], "left_anti")
+        more = scratch.write(more, "more")
+        late = _similar(docs, more.filter(F.col("apart") > SURE), nodes, scratch, shingle, similarity, text, "2")
+        links = scratch.write(links.unionByName(more.filter(F.col("apart") <= SURE).select("u", "v")).unionByName(late), "all_links")
+        classes = _classes(nodes, stars(links, scratch, "last"))
+    named = scratch.write(nodes.select("node", "fp").join(classes, "node").select("fp", "class"), "named")
     return rows.join(named, "fp").select("doc_id", "text_key", "class")
 
 
+def _classes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, class) of all nodes."""
+    return nodes.select("node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("class"))
+
+
 def keep_first(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each class of near copies."""
     scratch = Scratch(docs.sparkSession)
@@ -409,7 +479,7 @@ def keep_first(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float =
     again = named.join(firsts, "class", "left").filter(F.col("first").isNull() | (order == F.col("first"))).filter("n > 1").select("doc_id", "text_key")
     id_name, text_name, n = (free_name(docs, f"tf_{x}") for x in ("id", "text_key", "n"))
     out = scratch.write(gone.withColumn("n", F.lit(0)).unionByName(again.withColumn("n", F.lit(1))).toDF(id_name, text_name, n), "gone")
-    scratch.drop("large", "nodes", "candidates", "borderline", "sets", "firsts", "named", "wide")
+    scratch.drop("large1", "large2", "nodes", "candidates", "borderline", "borderline2", "sets", "sets2", "links", "all_links", "first_classes", "spans", "where", "again", "more", "firsts", "named", "wide")
     marked = docs.withColumn(text_name, _text_key(text)).withColumn(id_name, col(key).cast("long"))
     left = small_side(marked, out.drop(n), [id_name, text_name], "left_anti").select(*map(col, docs.columns))
     if not out.filter(col(n) == 1).head(1):
