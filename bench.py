@@ -15,6 +15,7 @@ from terrafold import operators as O
 from terrafold.functions import call, native, register_all
 from terrafold.geom import model
 from terrafold.plans import queries as Q
+from terrafold.sql import spatial_sql
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -52,14 +53,17 @@ def main() -> None:
         "intersects_16": lambda: points().filter(call("ST_Intersects", F.col("pt"), ring(16))),
         "touches_constant": lambda: points().filter(call("ST_Touches", F.col("pt"), big)),
         "extent": lambda: points().agg(O.st_extent(box=native.point_box(F.col("pt")))),
-        "st_x": lambda: points().select(F.sum(F.col("pt.x"))),
+        "st_x": lambda: spatial_sql(spark, "SELECT sum(ST_X(pt)) FROM bench_points"),
+        "sql_within_5000": lambda: spatial_sql(spark, "SELECT * FROM bench_points WHERE ST_Within(pt, :area)", area=model.write_wkt(model.read_wkb(big))),
+        "sql_join": lambda: Q.sql_join(spark, tables),
         "join_2000": lambda: join_bench(2000),
         "join_20000": lambda: join_bench(20000),
         "join_boxes_points": lambda: Q.join_contains(spark, tables),
-        "relate_pairs": lambda: Q.QUERIES["st_relate"](spark, tables).limit(2000),
-        "overlay_pairs": lambda: Q.QUERIES["st_intersection"](spark, tables).limit(2000),
+        "relate_pairs": lambda: Q.QUERIES["st_relate"](spark, tables),
+        "overlay_pairs": lambda: Q.QUERIES["st_intersection"](spark, tables),
         "area_column": lambda: Q.parts(spark, tables).selectExpr(f"ST_Area({Q.FRAME}) AS r"),
     }
+    points().createOrReplaceTempView("bench_points")
     points().count()
     took = {}
     for name, run in runs.items():

@@ -24,8 +24,7 @@ def points(rng, kind):
     return p[rng.permutation(len(p))]
 
 
-@pytest.mark.parametrize("kind", ["blobs", "grid", "lines", "crowd"])
-@pytest.mark.parametrize("eps,least", [(0.5, 4), (1.0, 2)])
+@pytest.mark.parametrize("kind,eps,least", [("blobs", 0.5, 4), ("grid", 0.5, 4), ("lines", 1.0, 2), ("crowd", 0.5, 4)])
 def test_dbscan_equals_one_task(spark, kind, eps, least):
     rng = np.random.default_rng(5)
     halves = [points(rng, kind), points(rng, kind)[:200]]
