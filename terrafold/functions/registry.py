@@ -2,8 +2,9 @@
 
 ``register_all(spark)`` makes every ST_ name callable in SQL; calling it again replaces them. Points and boxes are
 native SQL functions, inlined by Catalyst; the other scalars are Arrow UDFs; ST_Extent, ST_Collect and ST_MemUnion
-are grouped-aggregate Arrow UDFs (they can't stand beside built-in aggregates in one SELECT; operators.aggregates
-has forms that can).
+are grouped-aggregate Arrow UDFs (plain Spark refuses them beside built-in aggregates in one SELECT; ``spatial_sql`` and
+operators.aggregates have forms that can). ST_ClusterKMeans(g, k) and ST_ClusterDBSCAN(g, eps, min_points) are window
+functions of ``spatial_sql`` only: by itself Spark would call them once a row.
 
 ``call(name, *args)`` is the Column form. A Python string or bytes given for a geometry is a constant: it travels
 with the function and not with every row. Arguments that the function fixes must be Python values there.
@@ -53,6 +54,10 @@ def _gathered(a: pa.Array, name: str, how) -> bytes | None:
     return None if found is None else model.write_wkb(found)
 
 
+def _window_only(g: pa.Array, *_: pa.Array) -> int:
+    raise ValueError("cluster functions run as OVER (...) windows of spatial_sql")
+
+
 def aggregate_udfs() -> dict[str, Any]:
     from pyspark.sql.pandas.functions import ArrowUDFType
 
@@ -61,6 +66,8 @@ def aggregate_udfs() -> dict[str, Any]:
         "ST_Extent": F.arrow_udf(lambda a: _extent(a), arrow.SPARK["x"], grouped),
         "ST_Collect": F.arrow_udf(lambda a: _gathered(a, "ST_Collect", S.collect), "binary", grouped),
         "ST_MemUnion": F.arrow_udf(lambda a: _gathered(a, "ST_MemUnion", S.union), "binary", grouped),
+        "ST_ClusterKMeans": F.arrow_udf(lambda g, k: _window_only(g, k), "int", grouped),
+        "ST_ClusterDBSCAN": F.arrow_udf(lambda g, eps, least: _window_only(g, eps, least), "int", grouped),
     }
 
 
