@@ -332,6 +332,18 @@ def sql_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_sql(spark, f"{alone} UNION ALL {apart}")
 
 
+def sql_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: DBSCAN as a window; boxes of a group whose left sides are at most 3 apart are one cluster."""
+    _views(spark, sf_dir)
+    return spatial_sql(spark, "SELECT k, c, min(k) OVER (PARTITION BY k % 7, c) AS first FROM (SELECT k, ST_ClusterDBSCAN(ST_Point(x, 0), 3, 1) OVER (PARTITION BY k % 7 ORDER BY k) AS c FROM tf_boxes)")
+
+
+def sql_mixed_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL: spatial aggregates beside built-in ones, with HAVING."""
+    _views(spark, sf_dir)
+    return spatial_sql(spark, "SELECT g, n, total, e.xmin AS xmin, e.ymax AS ymax, m FROM (SELECT k % 10 AS g, count(*) AS n, sum(w) AS total, ST_Extent(box) AS e, ST_NumGeometries(ST_Collect(ST_Point(x, y))) AS m FROM tf_boxes GROUP BY k % 10 HAVING ST_XMin(ST_Extent(box)) < 500)")
+
+
 def sql_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain SQL: orders inside a constant triangle, with native measures of their structs."""
     _views(spark, sf_dir)
@@ -358,6 +370,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "spatial_sql_where_join": (sql_where_join, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(*) AS n FROM p, o WHERE (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 49 AND o % 2 = 0 GROUP BY k"),
     "spatial_sql_anti_join": (sql_anti_join, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, 'alone' AS what FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o % 50 = 0 AND p.x <= ox + 1 AND ox - 1 <= p.x + p.w AND p.y <= oy + 1 AND oy - 1 <= p.y + p.w) UNION ALL SELECT k, 'apart' AS what FROM p WHERE EXISTS (SELECT 1 FROM p c WHERE c.x = p.x AND (c.y > p.y + p.w OR p.y > c.y + c.w))"),
     "spatial_sql_within": (sql_within, f"WITH o AS ({DOT}) SELECT o, CAST(ox AS DOUBLE) AS x, CAST(oy + 2 AS DOUBLE) AS y, CAST(16 AS DOUBLE) AS a, round(sqrt(CAST((ox - 3) * (ox - 3) + (oy - 4) * (oy - 4) AS DOUBLE)), 6) AS far, ox <= 300 AND oy <= 200 AS low FROM o WHERE ox < 700 AND oy > 100 AND oy < ox AND (ox - 600) * (ox - 600) + (oy - 400) * (oy - 400) <= 62500"),
+    "spatial_sql_clusters": (sql_clusters, f"WITH b AS ({BASE}), s AS (SELECT k, k % 7 AS g, x, CASE WHEN x - lag(x) OVER (PARTITION BY k % 7 ORDER BY x) <= 3 THEN 0 ELSE 1 END AS apart FROM b), i AS (SELECT k, g, sum(apart) OVER (PARTITION BY g ORDER BY x) AS island FROM s), f AS (SELECT k, g, min(k) OVER (PARTITION BY g, island) AS first FROM i) SELECT k, CAST(dense_rank() OVER (PARTITION BY g ORDER BY first) - 1 AS INTEGER) AS c, first FROM f"),
+    "spatial_sql_mixed_aggregates": (sql_mixed_aggregates, f"WITH b AS ({BASE}) SELECT k % 10 AS g, count(*) AS n, CAST(sum(w) AS BIGINT) AS total, CAST(min(x) AS DOUBLE) AS xmin, CAST(max(y + w) AS DOUBLE) AS ymax, CAST(count(*) AS INTEGER) AS m FROM b GROUP BY 1 HAVING min(x) < 500"),
     "spatial_join_left": (join_left, f"WITH p AS ({BASE}), o AS ({DOT}) SELECT k, count(o) AS n FROM p LEFT JOIN o ON {IN_BOX} GROUP BY k"),
 }
 
