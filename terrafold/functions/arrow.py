@@ -148,6 +148,19 @@ def _located(name: str, args: tuple[pa.Array, ...]) -> pa.Array | None:
     return None
 
 
+def _reprojected(args: tuple[pa.Array | Same, ...]) -> pa.Array | None:
+    """A column of plain points, lines or polygons of one SRID in another reference system, all at once."""
+    targets = [args[1].value] if isinstance(args[1], Same) else pc.unique(args[1]).to_pylist()
+    if isinstance(args[0], Same) or len(targets) > 1 or targets[0] is None:
+        return None
+    a, target = args[0], int(targets[0])
+    if pa.types.is_struct(a.type):
+        flat = all(pc.struct_field(a, k.name).null_count == len(a) for k in a.type if k.name in ("z", "m"))
+        own = points(a) if flat else None
+        return None if own is None else vector.reprojected_points(*own, target)
+    return vector.reprojected(a, target) if pa.types.is_binary(a.type) else None
+
+
 def run(f: S.Scalar, args: tuple[pa.Array, ...]) -> pa.Array:
     """One batch of a scalar function."""
     if not f.least <= len(args) <= len(f.args):
@@ -155,6 +168,8 @@ def run(f: S.Scalar, args: tuple[pa.Array, ...]) -> pa.Array:
     n = max((len(a) for a in args), default=0)
     if f.name in S.PREDICATES and n > 1 and (quick := _located(f.name, args)) is not None:
         return quick
+    if f.name == "ST_Transform" and n > 1 and (quick := _reprojected(args)) is not None:
+        return quick
     if f.name in ("ST_X", "ST_Y") and pa.types.is_struct(args[0].type) and (own := points(args[0])) is not None:
         return pa.array(np.ascontiguousarray(own[0][:, int(f.name == "ST_Y")]), pa.float64(), mask=own[1])
     if len(args) == 1 and isinstance(args[0], pa.Array) and (quick := vector.measure(f.name, args[0])) is not None:

@@ -1,4 +1,4 @@
-"""Measures and bounds of whole columns at once, for columns of one plain kind: 2D points, lines or polygons.
+"""Measures, bounds and reprojection of whole columns at once, for columns of one plain kind: 2D points, lines or polygons.
 
 ``flat`` takes an Arrow column apart without a Python object per row: WKT by Arrow's string functions, little-endian WKB and
 EWKB by offsets. It gives None for anything else (mixed kinds, z or m, empty parts, odd spacing, NaN), which then goes row by row.
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..geom import crs
 from ..geom.model import LINE, NAMES, POINT, POLYGON
 
 _OPEN = {POINT: ("POINT(", ")"), LINE: ("LINESTRING(", ")"), POLYGON: ("POLYGON((", "))")}
@@ -64,35 +65,93 @@ def _from_text(a: pa.Array) -> Flat | None:
     return Flat(kind, xy, _ends(_sizes(dots)), _ends(per_row), null)
 
 
-def _from_wkb(a: pa.Array) -> Flat | None:
+@dataclass
+class Layout:
+    """Where the coordinates of a column of (E)WKB of one kind stand in its bytes."""
+
+    raw: np.ndarray
+    starts: np.ndarray  # first byte of each value that is not null
+    offsets: np.ndarray
+    kind: int
+    srid: bool  # whether the values carry one
+    many: np.ndarray  # coordinates of each value
+    bytes: np.ndarray  # places of all coordinates' bytes
+    null: np.ndarray
+
+    def word(self, at: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.raw[at[:, None] + np.arange(4)]).view("<u4")[:, 0].astype(np.int64)
+
+    @property
+    def xy(self) -> np.ndarray:
+        return np.ascontiguousarray(self.raw[self.bytes]).view("<f8").reshape(-1, 2)
+
+
+def _layout(a: pa.Array) -> Layout | None:
     null = np.asarray(a.is_null())
     some = a.drop_null()
     if not len(some) or some.type != pa.binary():
         return None
     offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
-    raw, starts, sizes = np.frombuffer(some.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)
-    if sizes.min() < 21:
+    own = Layout(np.frombuffer(some.buffers()[2], np.uint8), offsets[:-1], offsets, 0, False, offsets[:-1], offsets[:-1], null)
+    raw, starts, word = own.raw, own.starts, own.word
+    if np.diff(offsets).min() < 21:
         return None
-
-    def word(at: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(raw[at[:, None] + np.arange(4)]).view("<u4")[:, 0].astype(np.int64)
-
     code = word(starts + 1)
     if not (raw[starts] == 1).all() or not (code == code[0]).all() or code[0] & ~0x20000007 or (code[0] & 7) not in _OPEN:
         return None
-    kind, body = int(code[0] & 7), starts + (9 if code[0] & 0x20000000 else 5)
-    if kind == POLYGON:
+    own.kind, own.srid = int(code[0] & 7), bool(code[0] & 0x20000000)
+    body = starts + (9 if own.srid else 5)
+    if own.kind == POLYGON:
         if not (word(body) == 1).all():
             return None
         body = body + 4
     many = np.ones(len(body), np.int64)
-    if kind != POINT:
+    if own.kind != POINT:
         many, body = word(body), body + 4
     if not (body + 16 * many == offsets[1:]).all() or not many.all():
         return None
     ends = _ends(16 * many)
-    taken = np.repeat(body - ends[:-1], 16 * many) + np.arange(ends[-1])
-    return Flat(kind, np.ascontiguousarray(raw[taken]).view("<f8").reshape(-1, 2), _ends(many), _ends((~null).astype(np.int64)), null)
+    own.many, own.bytes = many, np.repeat(body - ends[:-1], 16 * many) + np.arange(ends[-1])
+    return own
+
+
+def _from_wkb(a: pa.Array) -> Flat | None:
+    own = _layout(a)
+    return None if own is None else Flat(own.kind, own.xy, _ends(own.many), _ends((~own.null).astype(np.int64)), own.null)
+
+
+def reprojected(a: pa.Array, target: int) -> pa.Array | None:
+    """EWKB in another reference system, all coordinates of the column at once; None unless all values are of one plain kind and one SRID."""
+    own = _layout(a)
+    if own is None or not own.srid:
+        return None
+    srids, xy = np.unique(own.word(own.starts + 5)), own.xy
+    if len(srids) > 1 or not srids[0] or np.isnan(xy).any():
+        return None
+    moved = np.array(crs.transform(xy, int(srids[0]), target))
+    if own.kind != POINT:  # closed stays closed: equal inputs may differ in the last bit, by their place in an array
+        ends = _ends(own.many)
+        closed = (xy[ends[:-1]] == xy[ends[1:] - 1]).all(1)
+        moved[ends[1:][closed] - 1] = moved[ends[:-1][closed]]
+    out = own.raw.copy()
+    out[own.bytes] = moved.view(np.uint8).ravel()
+    out[own.starts[:, None] + np.arange(5, 9)] = np.frombuffer(np.uint32(target).tobytes(), np.uint8)
+    return _spread(pa.Array.from_buffers(pa.binary(), len(own.starts), [None, pa.py_buffer(own.offsets.astype(np.int32)), pa.py_buffer(out)]), own.null)
+
+
+def reprojected_points(xy: np.ndarray, null: np.ndarray, source: int, target: int) -> pa.Array | None:
+    """The same for coordinates of points."""
+    xy = xy[~null]
+    if not source or not len(xy) or np.isnan(xy).any():
+        return None
+    out = np.zeros(len(xy), [("order", "u1"), ("code", "<u4"), ("srid", "<u4"), ("xy", "<f8", 2)])
+    out["order"], out["code"], out["srid"], out["xy"] = 1, 0x20000001, target, crs.transform(xy, source, target)
+    return _spread(pa.Array.from_buffers(pa.binary(), len(xy), [None, pa.py_buffer(np.arange(len(xy) + 1, dtype=np.int32) * out.itemsize), pa.py_buffer(out.tobytes())]), null)
+
+
+def _spread(some: pa.Array, null: np.ndarray) -> pa.Array:
+    """Nulls put back in."""
+    return some.take(pa.array(np.where(null, 0, np.cumsum(~null) - 1), mask=null)) if null.any() else some
 
 
 def flat(a: pa.Array) -> Flat | None:

@@ -57,10 +57,62 @@ def area(expression: str) -> str:
 
 LON, LAT = "(CAST((x * 7919) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - 180)", "(CAST((y * 6271) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - 85)"
 HASH = "0123456789bcdefghjkmnpqrstuvwxyz"  # the letters of geohashes
-_A, _B = f"CAST(floor(({LON} + 180) / 45) AS BIGINT)", f"CAST(floor(({LAT} + 90) / 45) AS BIGINT)"
-CELL = f"(({_A} // 4) * 16 + ({_B} // 2) * 8 + ({_A} // 2) % 2 * 4 + {_B} % 2 * 2 + {_A} % 2)"
+
+
+def geohash(n: int) -> str:
+    """Plain SQL for the geohash of LON and LAT: bits of the cell's column and row by turns, five to a letter."""
+    bits = 5 * n
+    lon = f"CAST(floor(({LON} + 180) / 360 * {1 << (bits + 1) // 2}) AS BIGINT)"
+    lat = f"CAST(floor(({LAT} + 90) / 180 * {1 << bits // 2}) AS BIGINT)"
+    each = [f"({lat if k % 2 else lon} >> {((bits // 2) if k % 2 else (bits + 1) // 2) - 1 - k // 2}) % 2 * {1 << (4 - k % 5)}" for k in range(bits)]
+    letters = [f"substr('{HASH}', CAST({' + '.join(each[k : k + 5])} AS INTEGER) + 1, 1)" for k in range(0, bits, 5)]
+    return f"concat({', '.join(letters)})"
+
+
 HAVERSINE = f"2 * 6371008.8 * asin(least(CAST(1 AS DOUBLE), sqrt(pow(sin((radians({LAT} / 2) - radians({LAT})) / 2), 2) + cos(radians({LAT})) * cos(radians({LAT} / 2)) * pow(sin(radians(CAST(1 AS DOUBLE)) / 2), 2))))"
 
+# the closed forms of two projections on GRS 80, for points between 4 degrees west and 6 east, 42 and 52 north
+EAST, NORTH = "(CAST(x AS DOUBLE) / CAST(100 AS DOUBLE) - 4)", "(CAST(y AS DOUBLE) / CAST(100 AS DOUBLE) + 42)"
+E = 0.081819191042815791  # eccentricity
+
+
+def conic() -> str:
+    """Plain SQL for the sum of both coordinates in Lambert-93 (standard parallels 49 and 44, origin 3 east, 46.5 north)."""
+
+    def psi(lat: str) -> str:
+        return f"(ln(tan(pi() / 4 + radians({lat}) / 2)) - {E} / 2 * ln((1 + {E} * sin(radians({lat}))) / (1 - {E} * sin(radians({lat})))))"
+
+    def m(lat: str) -> str:
+        return f"(cos(radians({lat})) / sqrt(1 - {E} * {E} * pow(sin(radians({lat})), 2)))"
+
+    n = f"(ln({m('49')} / {m('44')}) / ({psi('44')} - {psi('49')}))"
+
+    def r(lat: str) -> str:
+        return f"(6378137 * {m('49')} / {n} * exp({n} * ({psi('49')} - {psi(lat)})))"
+
+    turn = f"({n} * radians({EAST} - 3))"
+    return f"round(700000 + {r(NORTH)} * sin({turn}), 2) + round(6600000 + {r('46.5')} - {r(NORTH)} * cos({turn}), 2)"
+
+
+def azimuthal() -> str:
+    """Plain SQL for the sum of both coordinates in the European equal-area system (origin 10 east, 52 north)."""
+
+    def q(s: str) -> str:
+        return f"({1 - E * E} * ({s} / (1 - {E * E} * {s} * {s}) + ln((1 + {E} * {s}) / (1 - {E} * {s})) / (2 * {E})))"
+
+    pole = q("1")
+    own, beta = f"asin({q('sin(radians(52))')} / {pole})", f"asin({q(f'sin(radians({NORTH}))')} / {pole})"
+    radius, turn = f"(6378137 * sqrt({pole} / 2))", f"radians({EAST} - 10)"
+    stretch = f"(6378137 * cos(radians(52)) / sqrt(1 - {E * E} * pow(sin(radians(52)), 2)) / ({radius} * cos({own})))"
+    b = f"({radius} * sqrt(2 / (1 + sin({own}) * sin({beta}) + cos({own}) * cos({beta}) * cos({turn}))))"
+    return f"round(4321000 + {b} * {stretch} * cos({beta}) * sin({turn}), 2) + round(3210000 + {b} / {stretch} * (cos({own}) * sin({beta}) - sin({own}) * cos({beta}) * cos({turn})), 2)"
+
+
+def projected(srid: int) -> str:
+    moved = f"ST_Transform(ST_SetSRID(ST_Point({EAST}, {NORTH}), 4258), {srid})"
+    return f"round(ST_X({moved}), 2) + round(ST_Y({moved}), 2)"
+
+
 CASES: list[tuple[str, str, str | None]] = [
     # accessors
     ("st_x", "ST_X(ST_Point(x, y))", d("x")),
@@ -89,7 +141,7 @@ CASES: list[tuple[str, str, str | None]] = [
     # dimensions and SRID
     ("st_flipcoordinates", text(f"ST_FlipCoordinates({DIAGONAL})"), w("LINESTRING({y} {x},{y+w} {x+w})")),
     ("st_force2d", text(f"ST_Force2D({w('POINT Z({x} {y} {w})')})"), POINT),
-    ("st_force3d", f"ST_Z(ST_Force3D({POINT}))", d("0")),
+    ("st_force3d", text(f"ST_Force3D(CASE WHEN x % 2 = 0 THEN {LINE} ELSE {POINT} END)"), f"CASE WHEN x % 2 = 0 THEN {w('LINESTRING Z({x} {y} 0,{x+w} {y} 0,{x+w} {y+w} 0)')} ELSE {w('POINT Z({x} {y} 0)')} END"),
     ("st_setsrid", f"ST_SRID(ST_SetSRID(ST_SetSRID(CASE x % 3 WHEN 0 THEN {LINE} WHEN 1 THEN {BOX} END, 4326), CAST((x % 2) * 3857 AS INT)))", "CASE WHEN x % 3 < 2 THEN CAST((x % 2) * 3857 AS INTEGER) END"),
     # constructors
     ("st_point", text("ST_Point(x, y)"), POINT),
@@ -106,9 +158,9 @@ CASES: list[tuple[str, str, str | None]] = [
     ("st_asgeojson", f"ST_AsGeoJSON({POINT})", "concat(chr(123), '\"type\":\"Point\",\"coordinates\":[', x, ',', y, ']', chr(125))"),
     ("st_geomfromtext", text(f"ST_GeomFromText({LINES})"), LINES),
     ("st_geomfromwkb", text(f"ST_GeomFromWKB(ST_AsBinary({BOX}))"), BOX),
-    ("st_geomfromewkb", f"ST_SRID(ST_GeomFromEWKB(ST_AsEWKB(ST_SetSRID({BOX}, 4326))))", "CAST(0 AS INTEGER)"),
+    ("st_geomfromewkb", f"concat(ST_SRID(ST_GeomFromEWKB(ST_AsEWKB(ST_SetSRID({MIXED}, 4326)))), ' ', ST_AsText(ST_GeomFromEWKB(ST_AsEWKB(ST_SetSRID({MIXED}, 4326)))))", f"CASE WHEN x % 4 < 3 THEN concat('0 ', {MIXED}) END"),
     ("st_geomfromgeojson", text(f"ST_GeomFromGeoJSON(ST_AsGeoJSON({LINES}))"), LINES),
-    ("st_geohash", f"ST_GeoHash(ST_Point({LON}, {LAT}), 1)", f"substr('{HASH}', CAST({CELL} AS INTEGER) + 1, 1)"),
+    ("st_geohash", f"ST_GeoHash(ST_Point({LON}, {LAT}), 6)", geohash(6)),
     ("st_pointfromgeohash", f"ST_AsText(ST_PointFromGeoHash(substr('{HASH}', CAST(x % 32 AS INT) + 1, 1)))", "concat('POINT(', CAST((((x % 32) // 16) * 4 + ((x % 32) // 4) % 2 * 2 + x % 2) * 45 - 158 + 0.5 AS DOUBLE), ' ', CAST((((x % 32) // 8) % 2 * 2 + ((x % 32) // 2) % 2) * 45 - 68 + 0.5 AS DOUBLE), ')')"),
     # predicates: MOVED is DOUBLE moved right by 0 to 6 sides of w, PLACE a point of its grid
     ("st_intersects", f"ST_Intersects(CASE x % 11 WHEN 0 THEN NULL WHEN 1 THEN 'POLYGON EMPTY' ELSE {DOUBLE} END, {MOVED})", "CASE x % 11 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE (x % 7) <= 2 END"),
@@ -132,8 +184,8 @@ CASES: list[tuple[str, str, str | None]] = [
     ("st_perimeter", f"ST_Perimeter(CASE x % 4 WHEN 0 THEN {BOX} WHEN 1 THEN {LINE} WHEN 2 THEN NULL ELSE {FRAME} END)", "CASE x % 4 WHEN 0 THEN CAST(4 * w AS DOUBLE) WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN NULL ELSE CAST(24 * w AS DOUBLE) END"),
     ("st_distance", f"ST_Distance({DOUBLE}, {MOVED})", d("greatest(0, (x % 7 - 2) * w)")),
     ("st_maxdistance", f"round(ST_MaxDistance({POINT}, {LINE}), 6)", "round(sqrt(CAST(2 * w * w AS DOUBLE)), 6)"),
-    ("st_hausdorffdistance", f"ST_HausdorffDistance({POINT}, {w('LINESTRING({x} {y},{x+w} {y})')})", d("w")),
-    ("st_frechetdistance", f"ST_FrechetDistance({w('LINESTRING({x} {y},{x+w} {y})')}, {w('LINESTRING({x} {y+w},{x+w} {y+w})')})", d("w")),
+    ("st_hausdorffdistance", f"ST_HausdorffDistance({DOUBLE}, {MOVED})", d("(x % 7) * w")),
+    ("st_frechetdistance", f"ST_FrechetDistance({LINE}, {w('LINESTRING({x} {y+w},{x+w} {y+w},{x+w} {y+w+(x%7)*w})')})", "CAST(greatest(w, (x % 7) * w) AS DOUBLE)"),
     ("st_distancesphere", f"round(ST_DistanceSphere(ST_Point({LON}, {LAT}), ST_Point({LON} + 1, {LAT} / 2)), 3)", f"round({HAVERSINE}, 3)"),
     ("st_distancespheroid", "round(ST_DistanceSpheroid(ST_Point(0, 0), ST_Point(CAST(x AS DOUBLE) / CAST(10 AS DOUBLE), 0)), 3)", "round(radians(CAST(x AS DOUBLE) / CAST(10 AS DOUBLE)) * 6378137, 3)"),
     ("st_azimuth", "round(ST_Azimuth(ST_Point(0, 0), ST_Point(CAST(CASE x % 5 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS DOUBLE) * (w + 1) / 10, CAST(CASE x % 5 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS DOUBLE) * (w + 1) / 10)), 6)", "CASE x % 5 WHEN 0 THEN round(pi() / 2, 6) WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN round(3 * pi() / 2, 6) WHEN 3 THEN round(pi(), 6) END"),
@@ -148,11 +200,11 @@ CASES: list[tuple[str, str, str | None]] = [
     ("st_intersection", area(f"ST_Intersection({DOUBLE}, {MOVED})"), d("2 * w * greatest(0, 2 - x % 7) * w")),
     ("st_difference", area(f"ST_Difference({DOUBLE}, {MOVED})"), d("4 * w * w - 2 * w * greatest(0, 2 - x % 7) * w")),
     ("st_symdifference", area(f"ST_SymDifference({DOUBLE}, {MOVED})"), d("8 * w * w - 4 * w * greatest(0, 2 - x % 7) * w")),
-    ("st_convexhull", area(f"ST_ConvexHull({LINE})"), d("w * w / CAST(2 AS DOUBLE)")),
+    ("st_convexhull", area(f"ST_ConvexHull({w('MULTIPOINT(({x} {y}),({x+(x%3+1)*w} {y+w}),({x+7*w} {y}),({x+w} {y+(y%4+2)*w}),({x+2*w} {y+w}))')})"), "CAST(7 * w * (y % 4 + 2) * w AS DOUBLE) / 2"),
     ("st_orientedenvelope", area(f"ST_OrientedEnvelope({DOTS})"), d("w * w")),
     ("st_boundary", text(f"ST_Boundary({LINE})"), w("MULTIPOINT(({x} {y}),({x+w} {y+w}))")),
     ("st_centroid", text(f"ST_Centroid({DOUBLE})"), MIDDLE),
-    ("st_pointonsurface", f"CASE x % 3 WHEN 0 THEN ST_Within(ST_PointOnSurface({FRAME}), {FRAME}) WHEN 1 THEN ST_Intersects(ST_PointOnSurface({LINE}), {LINE}) ELSE ST_PointOnSurface('POLYGON EMPTY') IS NULL END", "TRUE"),
+    ("st_pointonsurface", f"CASE x % 4 WHEN 0 THEN CAST(ST_Within(ST_PointOnSurface({FRAME}), {FRAME}) AS STRING) WHEN 1 THEN CAST(ST_Intersects(ST_PointOnSurface({LINE}), {LINE}) AS STRING) WHEN 2 THEN ST_AsText(ST_PointOnSurface({DOUBLE})) ELSE ST_AsText(ST_PointOnSurface('POLYGON EMPTY')) END", f"CASE x % 4 WHEN 2 THEN {MIDDLE} WHEN 3 THEN NULL ELSE 'true' END"),
     ("st_makevalid", area(f"ST_MakeValid({w('POLYGON(({x} {y},{x+2*w} {y+2*w},{x+2*w} {y},{x} {y+2*w},{x} {y}))')})"), d("2 * w * w")),
     ("st_removerepeatedpoints", text(f"ST_RemoveRepeatedPoints({w('LINESTRING({x} {y},{x} {y},{x+w} {y+w},{x+w} {y+w})')})"), DIAGONAL),
     ("st_reverse", text(f"ST_Reverse({DIAGONAL})"), w("LINESTRING({x+w} {y+w},{x} {y})")),
@@ -163,7 +215,7 @@ CASES: list[tuple[str, str, str | None]] = [
     ("st_simplifyvw", text(f"ST_SimplifyVW({ZIGZAG}, 0.5)"), f"CASE WHEN x % 2 = 0 THEN {w('LINESTRING({x} {y},{x+2*w} {y})')} ELSE {ZIGZAG} END"),
     ("st_segmentize", text(f"ST_Segmentize({w('LINESTRING({x} {y},{x+10*w} {y})')}, CAST(w * 5 AS DOUBLE))"), w("LINESTRING({x} {y},{x+5*w} {y},{x+10*w} {y})")),
     ("st_concavehull", area(f"ST_ConcaveHull({w('MULTIPOINT(({x} {y}),({x+2*w} {y}),({x+2*w} {y+2*w}),({x} {y+2*w}),({x+w} {y+w}))')}, 0.001)"), d("4 * w * w")),
-    ("st_chaikinsmoothing", f"ST_NPoints(ST_ChaikinSmoothing({LINE}, 1))", "CAST(4 AS INTEGER)"),
+    ("st_chaikinsmoothing", text(f"ST_ChaikinSmoothing({w('LINESTRING({x} {y},{x+4*w} {y},{x+4*w} {y+4*w})')}, 1)"), w("LINESTRING({x} {y},{x+3*w} {y},{x+4*w} {y+w},{x+4*w} {y+4*w})")),
     ("st_translate", text(f"ST_Translate({BOX}, w, 0)"), w("POLYGON(({x+w} {y},{x+2*w} {y},{x+2*w} {y+w},{x+w} {y+w},{x+w} {y}))")),
     ("st_scale", text(f"ST_Scale({POINT}, 2, 3)"), w("POINT({2*x} {3*y})")),
     ("st_rotate", f"round(ST_X(ST_Rotate({POINT}, pi() / 2)), 6) + 0.0", d("-y")),
@@ -191,6 +243,8 @@ CASES: list[tuple[str, str, str | None]] = [
     ("st_setpoint", text(f"ST_SetPoint({LINE}, 0, {w('POINT({x-w} {y})')})"), w("LINESTRING({x-w} {y},{x+w} {y},{x+w} {y+w})")),
     ("st_snaptogrid", text("ST_SnapToGrid(ST_Point(x + 0.3, y - 0.2), 1)"), POINT),
     ("st_transform", "round(ST_X(ST_Transform(ST_SetSRID(ST_Point(CAST(x AS DOUBLE) / CAST(10 AS DOUBLE), CAST(y AS DOUBLE) / CAST(20 AS DOUBLE)), 4326), 3857)), 2) + round(ST_Y(ST_Transform(ST_SetSRID(ST_Point(CAST(x AS DOUBLE) / CAST(10 AS DOUBLE), CAST(y AS DOUBLE) / CAST(20 AS DOUBLE)), 4326), 3857)), 2)", "round(radians(CAST(x AS DOUBLE) / CAST(10 AS DOUBLE)) * 6378137, 2) + round(6378137 * ln(tan(pi() / 4 + radians(CAST(y AS DOUBLE) / CAST(20 AS DOUBLE)) / 2)), 2)"),
+    ("st_transform_conic", projected(2154), conic()),
+    ("st_transform_azimuthal", projected(3035), azimuthal()),
 ]
 
 BASE = "SELECT p_partkey AS k, (p_partkey * 53) % 1000 AS x, (p_partkey * 97) % 1000 AS y, CAST(p_size AS BIGINT) AS w FROM part"

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrafold.geom import cluster, crs, geodesic, model, plane, shape
+from terrafold.geom import cluster, geodesic, model, plane, shape
 from terrafold.geom.model import read_wkb, read_wkt, write_wkb, write_wkt
 
 GRID = 6
@@ -136,11 +136,6 @@ def test_geodesics():
         x, y, _ = geodesic.direct(lon, lat, az, s)
         d, back = geodesic.inverse(lon, lat, x, y)
         assert d == pytest.approx(s, abs=1e-3) and back == pytest.approx(az, abs=1e-6)
-    for srid, lon in ((3857, 10.0), (32633, 14.5), (32733, 16.0)):
-        c = np.array([[lon, -20.5], [lon + 0.5, 45.25]])
-        assert crs.transform(crs.transform(c, 4326, srid), srid, 4326) == pytest.approx(c, abs=1e-8)
-    with pytest.raises(ValueError, match="27700"):
-        crs.transform(c, 4326, 27700)
 
 
 def test_clusters():
