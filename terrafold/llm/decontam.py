@@ -195,3 +195,19 @@ def _found(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str =
     if n_blocks > 1:
         found = found.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")], F.sum("n_rows").alias("n_rows"))
     return found
+
+
+#: The rows of the query in DuckDB, by a plain join of all windows.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM benchmark),
+s AS (SELECT item, ws, least({WINDOW}, len(ws)) AS size, unnest(generate_series(1, len(ws) - least({WINDOW}, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0),
+v AS (SELECT DISTINCT item, size, array_to_string(ws[i : i + size - 1], ' ') AS run FROM s),
+sizes AS (SELECT DISTINCT size FROM v),
+p AS (SELECT r, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM d, sizes WHERE len(ws) >= size),
+found AS (SELECT r, i, p.size, item FROM (SELECT r, i, size, array_to_string(ws[i : i + size - 1], ' ') AS run FROM p) p JOIN v ON p.size = v.size AND p.run = v.run),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + size - 1)) AS k FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
+"""

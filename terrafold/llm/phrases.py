@@ -310,3 +310,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
         return streamed
     clean = every.join(scratch.read("runs", every.select("k1", "k2")), ["k1", "k2"], "left_anti")
     return streamed.unionByName(clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
+
+
+#: The same rows in DuckDB, window by window.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, CASE WHEN i + {WINDOW - 1} <= len(ws) THEN md5(array_to_string(ws[i : i + {WINDOW - 1}], ' ')) END AS run FROM d),
+c AS (SELECT r, i, w, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS again FROM p),
+g AS (SELECT r, i, w, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM c),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

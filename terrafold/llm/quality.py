@@ -101,3 +101,28 @@ def rate(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "
     left = F.col("n_words") - n_gone
     kept = ~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", n_gone.alias("n_removed_words"), kept.alias("kept"))
+
+
+#: The same rows in DuckDB. Lines and word runs are compared as text, not by hash.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+e AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+p AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM e),
+g AS (SELECT r, i, n, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS run FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, run) > 1 AND run IS NOT NULL AS twice FROM g),
+hit AS (SELECT r, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM again),
+repeated AS (SELECT r, count(*) FILTER (hit) AS n_repeat_words FROM hit GROUP BY r),
+l AS (SELECT r, source, md5(t) AS own, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS parts FROM (SELECT r, source, t, unnest(ls) AS line FROM e)),
+m AS (SELECT r, source, own, line, translate(array_to_string(parts, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(parts) AS w FROM l WHERE len(parts) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM m GROUP BY r),
+often AS (SELECT source, norm, count(DISTINCT own) AS n FROM m GROUP BY source, norm),
+total AS (SELECT source, count(*) AS total FROM d GROUP BY source),
+above AS (SELECT o.source, o.norm FROM often o JOIN total t ON o.source IS NOT DISTINCT FROM t.source WHERE n >= {MIN_DOCS} AND n > {MAX_RATIO} * total),
+gone AS (SELECT m.r, sum(m.w) AS gone FROM m JOIN above a ON m.source IS NOT DISTINCT FROM a.source AND m.norm = a.norm GROUP BY m.r),
+f AS (SELECT e.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[{SYMBOLS}]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words
+  FROM e LEFT JOIN repeated USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
+h AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= {MIN_LEFT} * n_words AS kept FROM h
+"""

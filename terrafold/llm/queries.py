@@ -58,7 +58,7 @@ def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a ten-word window of a benchmark item."""
-    return decontam.decontaminate(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark")).drop("hit_starts", "hit_ends")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,4 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (op1_toxicity, op2_simhash_near_dedup, op3_best_fit_packing, op4_token_counts, op5_id_store, op6_benchmark_decontamination, op7_quality_rules, op8_secret_scan, op9_line_dedup, op10_substring_dedup, op11_fill_in_middle, op12_chat_format, op13_importance_resampling)
 QUERIES = {f.__name__: f for f in ALL}
-ORACLES = {"op9_line_dedup": linedup.ORACLE_SQL, "op11_fill_in_middle": infill.ORACLE_SQL, "op12_chat_format": chat.ORACLE_SQL}
+ORACLES = {"op6_benchmark_decontamination": decontam.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op9_line_dedup": linedup.ORACLE_SQL, "op10_substring_dedup": phrases.ORACLE_SQL, "op11_fill_in_middle": infill.ORACLE_SQL, "op12_chat_format": chat.ORACLE_SQL}
