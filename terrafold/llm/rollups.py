@@ -3,10 +3,10 @@
 Changes are rows (action, doc_id, source, lang, tokenizer, n_tokens, old_tokens): an ``insert`` adds a document
 and its tokens, a ``delete`` takes both away, a ``revise`` adds the difference between the new and the old
 count. A batch of changes becomes one small table of signed sums by (source, lang, tokenizer) in a folder of its own.
-It counts from the moment that a marker file of the batch's name, which says where the table is, has been created. Creation is
-exclusive (the file system refuses a second file of that name, as HDFS does; a store without exclusive creation needs
-one writer), so of several writers of one batch one wins, and a batch that is sent again changes nothing. What no
-marker names is never read. Totals are the sum of all marked deltas; ``compact`` takes the list of them once, folds exactly
+It counts from the moment that a marker file of the batch's name, which says where the table is, has appeared. A marker is written
+whole under another name and then renamed, and the rename is refused if the name is taken (in one step on HDFS; a store
+without such renames needs one writer). So of several writers of one batch one wins, a batch that is sent again changes nothing, and a
+writer that dies at any point leaves either a whole marker or none: the batch can be sent again. What no marker names is never read. Totals are the sum of all marked deltas; ``compact`` takes the list of them once, folds exactly
 these into one table, and publishes it with the list by a marker in the same way. A batch that lands meanwhile stays a delta.
 
 The sums are combined on the map side, so a hot source sends one row per task. Nothing is collected.
@@ -63,26 +63,35 @@ class Rollup:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _mark(self, kind: str, name: str, what: str) -> bool:
-        """Creates a marker; False if one of that name came first."""
-        where = self._path(f"{self.root}/{kind}/{name}")
+        """Publishes a marker; False if one of that name came first."""
+        draft, where = self._path(f"{self.root}/drafts/{uuid.uuid4().hex}"), self._path(f"{self.root}/{kind}/{name}")
+        out = self._fs.create(draft, False)
+        out.writeUTF(what)
+        out.close()
+        self._fs.mkdirs(where.getParent())
         try:
-            out = self._fs.create(where, False)
+            self._rename(draft, where)
         except Py4JJavaError:
+            self._fs.delete(draft, False)
             if self._fs.exists(where):
                 return False
             raise
-        out.writeUTF(what)
-        out.close()
         return True
 
+    def _rename(self, draft, where) -> None:
+        """Fails if ``where`` exists."""
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        plain = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(draft, where, plain)
+
     def _marked(self, kind: str) -> dict[str, str]:
-        """Name -> what it names, of all markers of a kind. One whose writer died before it said so names nothing."""
+        """Name -> what it names, of all markers of a kind."""
         where, found = self._path(f"{self.root}/{kind}"), {}
         for s in self._fs.listStatus(where) if self._fs.exists(where) else []:
-            if s.getLen():
-                own = self._fs.open(s.getPath())
-                found[s.getPath().getName()] = own.readUTF()
-                own.close()
+            own = self._fs.open(s.getPath())
+            found[s.getPath().getName()] = own.readUTF()
+            own.close()
         return found
 
     def _write(self, df: DataFrame, what: str = "") -> str:
@@ -112,8 +121,6 @@ class Rollup:
         if self._mark("commits", batch, name):
             return True
         delete_path(self.spark, f"{self.root}/{name}")
-        if batch not in self._marked("commits"):
-            raise RuntimeError(f"the writer of batch {batch} died at its marker: remove commits/{batch}, then send the batch again")
         return False
 
     def _sum(self, base: str | None, more: dict[str, str]) -> DataFrame:

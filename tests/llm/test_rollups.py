@@ -97,15 +97,30 @@ def test_two_writers(spark, counted, full):
     assert totals(one) == full
 
 
-def test_torn_marker(spark, counted, full):
+def test_writer_that_dies(spark, counted, full, monkeypatch):
+    """Wherever a writer dies, the batch can be sent again, and counts once."""
+    root = Scratch(spark).path("rollup")
+
+    class Killed(BaseException):
+        pass
+
+    def die(*_):
+        raise Killed
+
+    for step in ("_rename", "_mark"):  # its table and draft are written; its table is
+        with monkeypatch.context() as m, pytest.raises(Killed):
+            m.setattr(rollups.Rollup, step, die)
+            rollups.Rollup(spark, root).commit("a", insert(counted))
+        assert rollups.Rollup(spark, root).committed() == [] and totals(rollups.Rollup(spark, root)) == {}
+    r = rollups.Rollup(spark, root)
+    assert r.commit("a", insert(counted)) and not r.commit("a", insert(counted)) and totals(r) == full
+
+
+def test_second_marker_is_refused(spark, counted, full):
     r = rollups.Rollup(spark, Scratch(spark).path("rollup"))
-    where = r._path(f"{r.root}/commits/a")
-    r._fs.create(where, False).close()
-    assert r.committed() == [] and totals(r) == {}
-    with pytest.raises(RuntimeError, match="died at its marker"):
-        r.commit("a", insert(counted))
-    r._fs.delete(where, False)
-    assert r.commit("a", insert(counted)) and totals(r) == full
+    assert r.commit("a", insert(counted))
+    assert not r._mark("commits", "a", "data/elsewhere")  # a writer that looked before the other's marker was there
+    assert totals(r) == full and not list(r._fs.listStatus(r._path(f"{r.root}/drafts")))
 
 
 def test_query_and_clashing_names(spark, empty, odd, docs, rows, tmp_path):
