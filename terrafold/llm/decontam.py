@@ -6,9 +6,10 @@ prefix: the one that is rarest in the corpus. A first pass counts the items' shi
 task sends one row a shingle); the second joins document shingles with the windows' prefix tokens. A candidate
 must fit into the document (length and position bounds), then all its words are compared.
 
-The items are taken in blocks of at most ``BLOCK_BYTES`` of text, so what a task holds is bounded however many
-items there are; each block meets all documents. With one block nothing is shuffled; hits of several blocks are
-brought together per document.
+Items of at most ``BLOCK_BYTES`` of text travel to the tasks as one block, and no document is shuffled. Larger benchmarks
+stay tables, and the same steps are joins that Spark spreads (``_joined``): two passes of the documents' shingles, whatever the
+benchmark's size, one to count those that items have and one to meet the prefix tokens; then the words at the candidates' places
+are joined with the windows' words.
 
 Defined results: a null text has no words; an item without words is no window; items of fewer words than a
 shingle have shorter ones; repeated items (equal item_id) count once, item ids are compared as strings, a null
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ident
+from .common import Scratch, col, ident
 
 WINDOW = 10
 SHINGLE = 3
@@ -126,9 +127,9 @@ def _count(docs: DataFrame, block: Windows) -> dict[tuple[int, int], int]:
     return {(r.s, r.code): r.n for r in docs.mapInArrow(run, "s int, code long, n long").groupBy("s", "code").agg(F.sum("n").alias("n")).collect()}
 
 
-def _scan(docs: DataFrame, block: Windows, every: bool) -> DataFrame:
-    """(doc_id, text_key, n_words, starts, ends, items, rows) of each document, or only of those with hits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_rows", pa.int64())])
+def _scan(docs: DataFrame, block: Windows) -> DataFrame:
+    """(doc_id, text_key, n_words, starts, ends, items) of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,12 +137,11 @@ def _scan(docs: DataFrame, block: Windows, every: bool) -> DataFrame:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ws = words(text := x.as_py())
                 starts, ends, items = block.hits(block.ids(ws))
-                if every or starts:
-                    rows.append((doc, hashlib.md5((text or "").encode()).digest(), len(ws), starts, ends, sorted(items), int(every)))
+                rows.append((doc, hashlib.md5((text or "").encode()).digest(), len(ws), starts, ends, sorted(items)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, text_key binary, n_words long, starts array<int>, ends array<int>, items array<string>, n_rows long")
+    return docs.mapInArrow(run, "doc_id long, text_key binary, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
 def _finish(found: DataFrame) -> DataFrame:
@@ -158,8 +158,7 @@ def _finish(found: DataFrame) -> DataFrame:
                     else:
                         spans.append([a, e])
                 n, items = sum(e - a for a, e in spans), sorted(set(x["items"]))
-                row = (x["doc_id"], x["n_words"], n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n > 0, [a for a, _ in spans], [e for _, e in spans])
-                rows += [row] * x["n_rows"]
+                rows.append((x["doc_id"], x["n_words"], n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n > 0, [a for a, _ in spans], [e for _, e in spans]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -183,18 +182,89 @@ def _found(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str =
     slim = docs.select(col(key).cast("long").alias("doc_id"), col(text).alias("text"))
     bench = items.select(col(item_key).cast("string").alias("item"), F.coalesce(col(item_text), F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
-    dealt = bench.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
-    found = None
-    for k in range(n_blocks):
-        block = Windows([(r.item, r.text) for r in dealt.filter(F.col("block") == k).sort("item", "text").collect()], window)  # bounded by block_bytes
-        if block.windows:
-            block.choose(_count(slim, block))
-        own = _scan(slim, block, k == 0)
-        found = own if found is None else found.unionByName(own)
-    if n_blocks > 1:
-        found = found.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")], F.sum("n_rows").alias("n_rows"))
-    return found
+    if total > block_bytes:
+        return _joined(slim, bench, window)
+    block = Windows([(r.item, r.text) for r in bench.sort("item", "text").collect()], window)  # bounded by block_bytes
+    if block.windows:
+        block.choose(_count(slim, block))
+    return _scan(slim, block)
+
+
+def _codes(ws: list[bytes], s: int) -> np.ndarray:
+    """Hashes of the runs of s words."""
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(b" ".join(ws[k : k + s]), s) for k in range(len(ws) - s + 1)], np.uint64).view(np.int64)
+
+
+def _joined(slim: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """What ``_scan`` gives, for items of any size. A hash only makes candidates; windows are compared by their words."""
+    scratch = Scratch(slim.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ws = words(text.as_py())
+                runs = {b" ".join(ws[at : at + window]) for at in range(max(1, len(ws) - window + 1) if ws else 0)}
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(runs), pa.string()), pa.array(list(runs), pa.binary())], names=["item", "run"])
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for run in b.column(0).to_pylist():
+                ws = run.split()
+                s = min(SHINGLE, len(ws))
+                rows += [(run, len(ws), s, place, code) for place, code in enumerate(_codes(ws, s).tolist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["run", "size", "s", "place", "code"])
+
+    windows = scratch.write(bench.mapInArrow(cut, "item string, run binary").distinct(), "windows")
+    dealt = scratch.write(windows.select("run").distinct().mapInArrow(tokens, "run binary, size int, s int, place int, code long"), "tokens")
+    sizes = [r.s for r in dealt.select("s").distinct().sort("s").collect()]  # SHINGLE of them at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [_codes(ws, s) for ws in (words(x.as_py()) for x in b.column("text")) for s in sizes]
+            codes, n = np.unique(np.concatenate(own) if own else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, key, text in zip(b.column("doc_id"), b.column("text_key"), b.column("text"), strict=True):
+                ws = words(text.as_py())
+                for s in sizes:
+                    codes = _codes(ws, s)
+                    same = [pa.array([x.as_py()] * len(codes), x.type) for x in (doc, key)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(codes), len(ws), np.int32)), pa.array(np.arange(len(codes), dtype=np.int32)), pa.array(codes)], names=["doc_id", "text_key", "n_words", "at", "code"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, key, text, spots in zip(b.column("doc_id"), b.column("text_key"), b.column("text"), b.column("spots").to_pylist(), strict=True):
+                ws = words(text.as_py())
+                same = [pa.array([x.as_py()] * len(spots), x.type) for x in (doc, key)]
+                first, last = [x["first"] for x in spots], [x["first"] + x["size"] for x in spots]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array([b" ".join(ws[a:e]) for a, e in zip(first, last, strict=True)], pa.binary())], names=["doc_id", "text_key", "first", "last", "run"])
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(words(x.as_py())) for x in b.column(2)], pa.int64())], names=["doc_id", "text_key", "n_words"])
+
+    docs = slim.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), "text")
+    often = docs.select("text").mapInArrow(count, "code long, n long").join(dealt.select("code").distinct(), "code", "left_semi").groupBy("code").agg(F.sum("n").alias("n"))
+    # the rarest shingle of each window; a window with one that no document has can't be anywhere
+    ranked = dealt.join(often, "code", "left").groupBy("run").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code", "place", "size")).alias("x"))
+    prefix = scratch.write(ranked.filter("x.n > 0").select("x.code", "x.place", "x.size").distinct(), "prefix")
+    met = docs.mapInArrow(places, "doc_id long, text_key binary, n_words int, at int, code long").join(prefix, "code").withColumn("first", F.col("at") - F.col("place"))
+    spots = met.filter("first >= 0 AND first + size <= n_words").select("doc_id", "text_key", "first", "size").distinct()
+    spots = spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "size")).alias("spots"))  # a document has at most its words times window
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+    candidates = docs.alias("d").join(spots.alias("s"), same("d", "s")).select("d.doc_id", "d.text_key", "d.text", "s.spots").mapInArrow(read, "doc_id long, text_key binary, first int, last int, run binary")
+    hits = candidates.join(windows, "run").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.collect_set("item").alias("items"))
+    every = docs.mapInArrow(sized, "doc_id long, text_key binary, n_words long").alias("d")
+    none = F.expr("CAST(array() AS array<int>)")
+    return every.join(hits.alias("h"), same("d", "h"), "left").select(
+        "d.doc_id", "d.text_key", "n_words", F.coalesce("h.spans.first", none).alias("starts"), F.coalesce("h.spans.last", none).alias("ends"),
+        F.coalesce("h.items", F.expr("CAST(array() AS array<string>)")).alias("items"))
 
 
 #: The rows of the query in DuckDB, by a plain join of all windows.
