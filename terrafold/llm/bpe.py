@@ -6,6 +6,10 @@ encoded once per Python worker (plain words by the library's BPE model alone, al
 joined by a dictionary lookup. Whole texts go to the library where this rule doesn't hold: texts with other white space or with
 an added token's string (which then is that token, as the library has it), and every text of a tokenizer file whose
 normaliser, pre-tokeniser or model settings aren't those of the two files.
+
+``column`` does the same for a column of texts: they are cut together, on their bytes, and each different piece of the column is
+looked up once, however often it stands there. For the byte-level file it also cuts where a letter is followed by an ASCII mark:
+there too a piece always ends, so a word is one entry with and without its marks.
 """
 
 from __future__ import annotations
@@ -14,13 +18,18 @@ import json
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 #: Pieces that one worker keeps (about 200 bytes each), half of them from before the last change of generation.
 MEMO = 800_000
 
 _CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _LATIN, _MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?;:"
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-
+#: Kinds of bytes: others, blanks, letters and marks of ASCII.
+_OTHER, _BLANK, _LETTER, _MARK = range(4)
+_KIND = np.array([_BLANK if b in b" \n" else _LETTER if chr(b).isalpha() and b < 128 else _MARK if 32 < b < 127 and not chr(b).isalnum() else _OTHER for b in range(256)], np.uint8)
 
 #: The settings under which texts may be cut, as tokenizer files write them.
 _BYTES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
@@ -105,20 +114,55 @@ class Encoder(dict):
         self[piece] = value
         return value
 
+    def _stays_whole(self, text: str) -> bool:
+        if not self.cuts or any(t in text for t in self.added):
+            return True
+        return not self.words and not text.replace("\n", "").isprintable() and bool(_OTHER_SPACE.search(text))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cuts or any(t in text for t in self.added):
+        if self._stays_whole(text):
             return self.whole(text)
         if self.words:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        if not text.replace("\n", "").isprintable() and _OTHER_SPACE.search(text):
-            return self.whole(text)
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or "\x00" in text or "\x01" in text:
             return b"".join(map(self.__getitem__, _CUT.findall(text)))
         # The same pieces, found faster: each word takes the blank or line feed before it.
         return b"".join(map(self.__getitem__, text.replace("\n", " \x00").replace(" ", "\x01 ").replace(" \x00", "\n").split("\x01")))
 
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """``encode`` of each text, as unsigned 32-bit integers. All its memory is in proportion to the column: give it slices."""
+        said = [t or "" for t in texts.to_pylist()]
+        if self.words or not self.cuts:
+            return [np.frombuffer(self.encode(t), "<u4") for t in said]
+        whole = [self._stays_whole(t) for t in said]
+        apart = iter(self._together(texts.filter(pa.array([not w for w in whole], pa.bool_())).fill_null("")))
+        return [np.frombuffer(self.whole(t), "<u4") if w else next(apart) for t, w in zip(said, whole, strict=True)]
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        texts = texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if ends[0] == ends[-1]:
+            return [np.empty(0, "<u4")] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        kind = _KIND[data]
+        letter = kind == _LETTER
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # from À to ÿ
+        first = np.zeros(len(data), bool)
+        first[1:] = (kind[1:] == _BLANK) & (kind[:-1] != _BLANK) | (kind[1:] == _MARK) & letter[:-1]
+        first[ends[:-1][ends[:-1] < ends[1:]]] = True
+        starts = np.flatnonzero(first)
+        del kind, letter, first
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(list(map(self.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary()).take(pieces.indices)
+        flat = np.frombuffer(ids.buffers()[2], "<u4")
+        at = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(starts, ends)] // 4
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,10 @@ CUT_MASK = np.uint64(511 << 40)
 MIN_CHUNK, MAX_CHUNK, WINDOW = 64, 4096, 16
 #: Most documents of a shard, whose roots one task brings together (32 bytes each).
 SHARD_DOCS = 1 << 16
-#: Pieces that a worker keeps: nothing else is held while documents are cut, so there is room for more than elsewhere.
-MEMO = 1_600_000
+#: Pieces that a worker keeps: little else is held while documents are cut, so there is room for more than elsewhere.
+MEMO = 1_000_000
+#: Bytes of text that a task encodes together: more of them hold more copies of a piece, and take more memory.
+TOGETHER = 4 << 20
 
 
 def _gear(n: int = 1 << 16) -> np.ndarray:
@@ -64,10 +67,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= MIN_CHUNK:
         return [n] if n else []
-    values = GEAR[ids & 0xFFFF]
-    rolled = values.copy()
-    for k in range(1, WINDOW):
-        rolled[k:] += values[:-k] << np.uint64(3 * k)
+    rolled, k = GEAR[ids & 0xFFFF], 1
+    while k < WINDOW:  # the sum over 2k ids from those over k: values[i] + (values[i - 1] << 3) + (values[i - 2] << 6) ...
+        rolled[k:] += rolled[:-k] << np.uint64(3 * k)
+        k *= 2
     out, last = [], 0
     for at in (np.flatnonzero((rolled & CUT_MASK) == 0) + 1).tolist():
         while at - last > MAX_CHUNK:
@@ -124,29 +127,37 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``TOGETHER`` bytes; a longer text begins one."""
+    group = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64) // TOGETHER
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    return zip(bounds[:-1], bounds[1:], strict=True)
+
+
 def staged(docs: DataFrame, tokenizer: str, end_id: int, width: int, text: str, key: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunk_ids", pa.list_(pa.binary())), ("payloads", pa.list_(pa.binary()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, kind, end = encoder(tokenizer, MEMO), "<u2" if width == 2 else "<u4", int(end_id).to_bytes(4, "little")
+        enc, kind, end = encoder(tokenizer, MEMO), "<u2" if width == 2 else "<u4", np.array([end_id], "<u4")
         for batch in batches:
-            rows, held = [], 0
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(body.as_py()) + end, "<u4")
-                if width == 2 and int(ids.max()) > 0xFFFF:
-                    raise ValueError("an id needs more than 2 bytes; write with width=4")
-                raw, ends = ids.astype(kind).tobytes(), cuts(ids)
-                payloads = [raw[a * width : b * width] for a, b in zip([0, *ends], ends)]  # noqa: B905
-                names = [hashlib.sha256(p).digest() for p in payloads]
-                rows.append((doc, len(ids), merkle(names), names, payloads))
-                held += len(raw)
-                if held > 4 << 20:
+            for first, to in _slices(batch.column(1)):
+                part, rows, held = batch.slice(first, to - first), [], 0
+                for doc, own in zip(part.column(0).to_pylist(), enc.column(part.column(1)), strict=True):
+                    ids = np.append(own, end)
+                    if width == 2 and int(ids.max()) > 0xFFFF:
+                        raise ValueError("an id needs more than 2 bytes; write with width=4")
+                    raw, ends = ids.astype(kind).tobytes(), cuts(ids)
+                    payloads = [raw[a * width : b * width] for a, b in zip([0, *ends], ends)]  # noqa: B905
+                    names = [hashlib.sha256(p).digest() for p in payloads]
+                    rows.append((doc, len(ids), merkle(names), names, payloads))
+                    held += len(raw)
+                    if held > 4 << 20:
+                        yield _batch(rows, schema)
+                        rows, held = [], 0
+                if rows:
                     yield _batch(rows, schema)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows, schema)
 
-    return docs.select(col(key).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(cut, "doc_id long, n_tokens long, root binary, chunk_ids array<binary>, payloads array<binary>")
+    return docs.select(col(key).cast("long").alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(cut, "doc_id long, n_tokens long, root binary, chunk_ids array<binary>, payloads array<binary>")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2, text: str = "text", key: str = "doc_id", shard_docs: int = SHARD_DOCS) -> None:
