@@ -70,7 +70,7 @@ def test_cuts_are_those_of_the_plain_sum():
         assert idstore.cuts(ids) == ends
 
 
-@pytest.mark.parametrize("together", [1, 1000, 4 << 20])
+@pytest.mark.parametrize("together", [1, 1000, 8 << 20])
 def test_ids_do_not_depend_on_slices(rows, monkeypatch, together):
     from tokenizers import Tokenizer
 
