@@ -44,8 +44,8 @@ CUT_MASK = np.uint64(511 << 40)
 MIN_CHUNK, MAX_CHUNK, WINDOW = 64, 4096, 16
 #: Most documents of a shard, whose roots one task brings together (32 bytes each).
 SHARD_DOCS = 1 << 16
-#: Pieces that a worker keeps: little else is held while documents are cut, so there is room for more than elsewhere.
-MEMO = 1_200_000
+#: Pieces that a worker keeps: more of them save encoding and take memory.
+MEMO = 800_000
 #: Bytes of text that a task encodes together: more of them hold more copies of a piece, and take more memory.
 TOGETHER = 8 << 20
 
