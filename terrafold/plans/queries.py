@@ -320,7 +320,9 @@ def st_mem_union_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_cluster_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir).select("k", native.st_point((F.col("k") % 10) * 10000 + F.col("k"), F.lit(0)).alias("pt"), (F.col("k") % 2).alias("side"))
+    """A strip of 10,000 by 50 for each last digit of the keys, 90,000 from the next one, however large the keys are."""
+    x, y = (F.col("k") % 10) * 100_000 + F.col("k") % 10_000, F.floor(F.col("k") / 10_000) % 50
+    p = parts(spark, sf_dir).select("k", native.st_point(x, y).alias("pt"), (F.col("k") % 2).alias("side"))
     found = O.cluster_dbscan(p, "pt", 100.0, 2, by=["side"])
     first = found.groupBy("side", "cluster").agg(F.min("k").alias("first"))
     return found.join(first, ["side", "cluster"]).select("k", "first")

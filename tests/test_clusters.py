@@ -112,3 +112,12 @@ def test_shuffled_bytes_fall(spark):
         level = tiles.groupBy(z.alias("z")).agg(aggregates.st_mem_union(F.col("g")).alias("u"))
         sizes.append(level.agg(F.sum(F.octet_length("u"))).first()[0])
     assert sizes[0] > 1.5 * sizes[1] > 2 * sizes[2]
+
+
+def test_dbscan_query_equals_its_sql_on_large_keys(spark, tmp_path):
+    """Keys beyond 10,000 put the digits' strips on top of each other before."""
+    from terrafold.plans import queries as Q
+
+    spark.range(25_000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.k: r["first"] for r in Q.QUERIES["st_clusterdbscan"](spark, str(tmp_path)).collect()}
+    assert got == {k: k % 10 for k in range(25_000)}
