@@ -2,7 +2,8 @@
 
 Documents become a sparse matrix of documents by buckets, kept as a table of CSR blocks: document ids, where each row
 starts, bucket numbers and counts. A block is what a task gets from one batch, at most ``BLOCK`` counts unless one document
-has more (a document has at most one per bucket). The target's texts become blocks in the same way. Column sums of the two matrices give the
+has more (a document has at most one per bucket). The table holds each list as the bytes of its numbers, in as few as they need, and a
+page of it a few blocks: the JVM copies them and never holds a list, a row or a page of many megabytes. The target's texts become blocks in the same way. Column sums of the two matrices give the
 distributions; they are added up within each task and only sums per bucket are shuffled. The gain of a bucket is the
 logarithm of their ratio, smoothed by one. A product of each block with the gains gives the documents' weights, without their texts being read
 again. Only the ``buckets`` gains reach the driver and the tasks, whatever the corpus holds.
@@ -42,6 +43,10 @@ BLOCK, STEP = 1 << 18, 1 << 18
 _WORD, _REST = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[0-9A-Za-z\x80-\xff]*")
 _CSR = "ids array<long>, starts array<int>, buckets array<int>, counts array<int>, features array<long>"
 _CSR_ARROW = pa.schema([("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("features", pa.list_(pa.int64()))])
+_PACKED = "ids array<long>, starts binary, buckets binary, counts binary, features binary"
+_PACKED_ARROW = pa.schema([("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("starts", "buckets", "counts", "features")]])
+#: Parquet checks a page's and a row group's size every 100 rows at first, which may be 100 blocks.
+_PAGES = {"parquet.page.row.count.limit": "4", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.enable.dictionary": "false"}
 
 
 _tables: dict[int, np.ndarray] = {}
@@ -130,8 +135,19 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([s for _, s in parts]), len(keys)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, block: int = BLOCK) -> DataFrame:
-    """The matrix of documents by buckets as CSR blocks; a row of ``starts`` more than there are documents."""
+def _bytes(x: np.ndarray, most: int | None = None) -> bytes:
+    """Numbers of zero or more, in as few bytes each as the largest (or ``most``) needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)) if most is None else most)).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    """``n`` numbers that ``_bytes`` packed."""
+    return np.frombuffer(raw, f"u{len(raw) // n}" if n else np.uint8)
+
+
+def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, block: int = BLOCK, packed: bool = False) -> DataFrame:
+    """The matrix of documents by buckets as CSR blocks; a row of ``starts`` more than there are documents. ``packed``: lists of numbers are their bytes."""
+    schema = _PACKED_ARROW if packed else _CSR_ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,24 +161,29 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", buckets: in
                 doc, bucket, count, features = counted(texts[a:e].to_pylist(), buckets)
                 starts = np.searchsorted(doc, np.arange(e - a + 1))
                 columns = [ids[a:e], starts, bucket, count, features]
-                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _CSR_ARROW, strict=True)], schema=_CSR_ARROW)
+                if packed:
+                    columns[1:] = [_bytes(starts), _bytes(bucket, buckets), _bytes(count), _bytes(features)]
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
                 a = e
 
-    return docs.select(col(key).cast("long").alias("id") if key in docs.columns else F.lit(None).cast("long").alias("id"), col(text).cast("string").alias("text")).mapInArrow(run, _CSR)
+    return docs.select(col(key).cast("long").alias("id") if key in docs.columns else F.lit(None).cast("long").alias("id"), col(text).cast("string").alias("text")).mapInArrow(run, _PACKED if packed else _CSR)
 
 
-def _lists(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    for row in b.column(b.schema.get_field_index(name)):
-        yield row.values.to_numpy(zero_copy_only=False)
+def _counts(b: pa.RecordBatch, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and counts of each packed block."""
+    width = np.min_scalar_type(buckets).itemsize
+    for at, n in zip(b.column("buckets"), b.column("counts"), strict=True):
+        raw = at.as_py()
+        yield _numbers(raw, len(raw) // width), _numbers(n.as_py(), len(raw) // width)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n) for the buckets that occur: added up within a task, then over all."""
+    """(bucket, n) of packed blocks for the buckets that occur: added up within a task, then over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for at, n in zip(_lists(b, "buckets"), _lists(b, "counts"), strict=True):
+            for at, n in _counts(b, buckets):
                 total += np.bincount(at, n, buckets).astype(np.int64)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["bucket", "n"])
@@ -190,15 +211,16 @@ def gumbel(seed: int, key: int | None) -> int:
 
 
 def weights(matrix: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_features, weight, score) of every document: each block times the gains."""
+    """(doc_id, n_features, weight, score) of every document: each packed block times the gains."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_features", "weight", "score")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, n, starts, features, ids in zip(*[_lists(b, c) for c in ("buckets", "counts", "starts", "features")], b.column(b.schema.get_field_index("ids")), strict=True):
+            for (at, n), ids, starts, features in zip(_counts(b, len(gain)), b.column("ids"), b.column("starts"), b.column("features"), strict=True):
+                own = ids.as_py()
+                starts, features = _numbers(starts.as_py(), len(own) + 1), _numbers(features.as_py(), len(own)).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(gain[at] * n.astype(np.int64))])[starts]
                 weight = np.where(features > 0, (ends[1:] - ends[:-1]) // np.maximum(features, 1), 0)
-                own = ids.as_py()
                 score = weight + np.array([gumbel(seed, k) for k in own], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.array(x, pa.int64()) for x in (features, weight, score)]], schema=schema)
 
@@ -222,8 +244,8 @@ def ranked(rows: DataFrame, few: int, scratch: Scratch) -> DataFrame:
 def resample(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, least_words: int = LEAST_WORDS, per_cent: int = PER_CENT, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Every document's doc_id, n_features, weight, score and rank (null: not drawn)."""
     scratch = Scratch(docs.sparkSession)
-    matrix = scratch.write(blocks(docs, text, key, buckets, block), "matrix")
-    wanted = scratch.write(blocks(target, text, key, buckets, block), "target")
+    matrix = scratch.write(blocks(docs, text, key, buckets, block, packed=True), "matrix", **_PAGES)
+    wanted = scratch.write(blocks(target, text, key, buckets, block, packed=True), "target", **_PAGES)
     gain = gains(_dense(column_sums(matrix, buckets), buckets), _dense(column_sums(wanted, buckets), buckets))
     scored = scratch.write(weights(matrix, gain, seed), "scored")
     scratch.drop("matrix", "target")

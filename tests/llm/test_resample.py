@@ -104,3 +104,17 @@ def test_blocks_are_bounded(spark, docs, rows):
     for r in found:
         assert len(r.ids) == 1 or sum(sizes[i] if i is not None else 0 for i in r.ids) <= 500
         assert r.starts[0] == 0 and r.starts[-1] == len(r.buckets) == len(r.counts) and len(r.starts) == len(r.ids) + 1
+
+
+def test_packed_blocks(spark, docs):
+    """The table of blocks holds bytes, in small pages, and gives the sums of the lists."""
+    lists, packed = resample.blocks(docs, block=500), resample.blocks(docs, block=500, packed=True)
+    assert [t for _, t in packed.dtypes][1:] == ["binary"] * 4
+    want = Counter()
+    for r in lists.collect():
+        want.update(dict.fromkeys(r.buckets, 0))
+        for b, n in zip(r.buckets, r.counts, strict=True):
+            want[b] += n
+    assert {r.bucket: r.n for r in resample.column_sums(packed).collect()} == dict(want)
+    x = np.array([0, 70_000, 3])
+    assert resample._numbers(resample._bytes(x), 3).tolist() == x.tolist() and resample._numbers(b"", 0).tolist() == []
