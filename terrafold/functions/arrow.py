@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from ..geom import model, plane
 from ..geom.model import POINT, Geometry
 from . import scalar as S
+from . import columns as C
 from . import vector
 
 BOX = pa.struct([("xmin", pa.float64()), ("ymin", pa.float64()), ("xmax", pa.float64()), ("ymax", pa.float64()), ("srid", pa.int32())])
@@ -174,6 +175,8 @@ def run(f: S.Scalar, args: tuple[pa.Array, ...]) -> pa.Array:
         return pa.array(np.ascontiguousarray(own[0][:, int(f.name == "ST_Y")]), pa.float64(), mask=own[1])
     if len(args) == 1 and isinstance(args[0], pa.Array) and (quick := vector.measure(f.name, args[0])) is not None:
         return quick
+    if f.name in (*C.PAIRED, *C.ALONE, "ST_Buffer") and n > 1 and all(isinstance(a, pa.Array) and len(a) == n for a in args[:2]) and not any(pa.types.is_null(a.type) for a in args) and (quick := C.run(f, args, _one, geometries)) is not None:
+        return quick
     columns = []
     for k, (a, letter) in enumerate(zip(args, f.args, strict=False)):
         if letter in "gp":
