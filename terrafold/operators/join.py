@@ -11,6 +11,11 @@ which is tested on the pairs that are left. Outer, semi and anti joins come from
 values that the condition reads (geometry, equal columns, columns of the rest) are among the inner join's. So no row numbers
 and no files are needed, and equal rows share their fate, as they must.
 
+Where rows share their geometries (at least ``SHARED`` to one, by an estimate), the different ones are joined and the pairs are then given their
+rows back in equi-joins: a predicate is decided once for all rows that share it. ``spatial_aggregate`` gives each left row counts, sums, least
+and greatest values over its partners without forming the pairs: rows that the condition can't tell apart are added up before they are
+joined, and a comparison of a column of each side is answered from running aggregates in the order of the right one.
+
 Points as structs and boxes as structs are tested natively throughout; Python only runs for predicates that boxes
 don't decide. Nothing is broadcast, whatever the sizes, unless Spark itself finds a side small enough.
 """
@@ -18,7 +23,7 @@ don't decide. Nothing is broadcast, whatever the sizes, unless Spark itself find
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +35,8 @@ MAX_CELLS = 64
 LEVELS = 8
 #: Left rows that may share a cell with a row, and the rows that a cell's size is judged by.
 CROWD, SAMPLE = 8, 20_000
+#: Rows to a different geometry from which on these are joined instead of rows.
+SHARED = 4
 JOINABLE = (*[p for p in S.PREDICATES if p != "ST_Disjoint"], "ST_DWithin", "ST_BBoxIntersects")
 
 
@@ -115,6 +122,7 @@ def spatial_join(
     cell: float | None = None,
     equal: list[tuple[str, str]] | None = None,
     residual: Column | str | None = None,
+    _shared: bool = True,
 ) -> DataFrame:
     """Rows of both sides for which ``pred``(left geometry, right geometry) holds, ``equal`` columns are equal and ``residual`` is true.
 
@@ -157,13 +165,14 @@ def spatial_join(
     wide = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
     # The binary orders of magnitude of box sizes; at most a few thousand numbers, mostly one to ten.
     sizes = F.collect_set(F.when(wide > 0, F.ceil(F.log2(wide))).otherwise(F.lit(-9999)).cast("int"))
-    measures = [F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.count(F.lit(1)), F.avg(b["xmax"] - b["xmin"]), F.avg(b["ymax"] - b["ymin"]), sizes]
+    measures = [F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.count(F.lit(1)), F.avg(b["xmax"] - b["xmin"]), F.avg(b["ymax"] - b["ymin"]), sizes, F.approx_count_distinct(b)]
     sides = l0.agg(F.lit(0).alias("side"), *[m.alias(f"m{i}") for i, m in enumerate(measures)])
-    if rk != "point":
-        sides = sides.unionByName(r0.agg(F.lit(1).alias("side"), *[m.alias(f"m{i}") for i, m in enumerate(measures)]))
+    sides = sides.unionByName(r0.agg(F.lit(1).alias("side"), *[m.alias(f"m{i}") for i, m in enumerate(measures)]))
     both_sides = {r.side: r[1:] for r in sides.collect()}  # one row a side
     x = both_sides[0]
-    found = set(x[7]) | (set(both_sides[1][7]) if 1 in both_sides else {-9999})
+    found = set(x[7]) | (set(both_sides[1][7]) if rk != "point" else {-9999})
+    if _shared and any(m[4] > SHARED * m[8] and m[4] > SAMPLE for m in both_sides.values()):
+        return _by_geometry(left, right, pred, left_geom, right_geom, distance, cell, equal, residual)
     if cell is None:
         side = max(x[1] - x[0], x[3] - x[2]) if x[4] else 1.0
         least = max(2 * max(x[5] or 0, x[6] or 0), 1e-12 * max(1.0, *(abs(v or 0) for v in x[:4])))
@@ -211,6 +220,78 @@ def spatial_join(
     return joined if residual is None else joined.filter(residual)
 
 
+def _keyed(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """The different values of some columns, by other names."""
+    return df.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keys, names, strict=True)]).distinct()
+
+
+def _given_back(df: DataFrame, keys: list[str], found: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Rows with what was found for their values of ``keys``, which ``found`` calls ``names``."""
+    return found.join(df, _all([F.col(n).eqNullSafe(F.col(quoted(c))) for c, n in zip(keys, names, strict=True)]), how)
+
+
+def _by_geometry(left: DataFrame, right: DataFrame, pred: str, lg: str, rg: str, distance: float | None, cell: float | None, equal: list[tuple[str, str]], residual: Column | None) -> DataFrame:
+    """The inner join by the different geometries (and equal columns) of both sides."""
+    one, two = list(dict.fromkeys([lg, *[l for l, _ in equal]])), list(dict.fromkeys([rg, *[r for _, r in equal]]))
+    names = free_names([f"k{i}" for i in range(len(one) + len(two))], left, right)
+    mine, theirs = dict(zip(one, names, strict=False)), dict(zip(two, names[len(one) :], strict=True))
+    met = spatial_join(_keyed(left, one, [*mine.values()]), _keyed(right, two, [*theirs.values()]), pred, mine[lg], theirs[rg], distance, "inner", cell, [(mine[l], theirs[r]) for l, r in equal], None, False)
+    # The pairs are few and what they become is many: they are spread by number, so that small partitions aren't put together.
+    met = met.repartition(4 * left.sparkSession.sparkContext.defaultParallelism, *map(F.col, mine.values()))
+    joined = _given_back(right, two, _given_back(left, one, met, [*mine.values()]), [*theirs.values()])
+    joined = joined.select(*[F.col(quoted(c)) for c in [*left.columns, *right.columns]])
+    return joined if residual is None else joined.filter(residual)
+
+
+def spatial_aggregate(
+    left: DataFrame,
+    right: DataFrame,
+    pred: str,
+    left_geom: str,
+    right_geom: str,
+    aggregates: dict[str, tuple[str, str | None]],
+    distance: float | None = None,
+    equal: list[tuple[str, str]] | None = None,
+    residual: Column | str | None = None,
+    compare: tuple[str, str, str] | None = None,
+) -> DataFrame:
+    """Every left row with aggregates over its partners: name -> (count, sum, min or max; right column, None to count rows).
+
+    A row without a partner has counts of zero, else nulls. ``compare`` is (left column, >, >=, < or <=, right column), a further condition, read
+    from the right column's side: ("k", ">", "o") asks for o > k. The columns of the sides and of the aggregates must differ.
+    """
+    equal = equal or []
+    residual = F.expr(residual) if isinstance(residual, str) else residual
+    read = lambda d, more: list(dict.fromkeys([*more, *_read(left.crossJoin(right), residual, d.columns)]))
+    one, two = read(left, [left_geom, *[l for l, _ in equal]]), read(right, [right_geom, *[r for _, r in equal]])
+    first = lambda how, c: F.count(F.lit(1) if c is None else F.col(quoted(c))) if how == "count" else getattr(F, how)(quoted(c))
+    then = lambda how, n: getattr(F, "sum" if how == "count" else how)(n)
+    partial = [first(how, c).alias(n) for n, (how, c) in aggregates.items()]
+    whole = [then(how, n).alias(n) for n, (how, _) in aggregates.items()]
+    here, there = [F.col(quoted(c)) for c in one], [F.col(quoted(c)) for c in two]
+    if compare is None:
+        met = spatial_join(left.select(*here).distinct(), right.groupBy(*there).agg(*partial), pred, left_geom, right_geom, distance, "inner", None, equal, residual)
+        totals = met.groupBy(*here).agg(*whole)
+    else:
+        asked, sign, told = compare
+        met = spatial_join(left.select(*here).distinct(), right.select(*there).distinct(), pred, left_geom, right_geom, distance, "inner", None, equal, residual)
+        names = free_names([f"k{i}" for i in range(len(one) + 1)], left, right)
+        value, late = free_names(["value", "late"], left, right)
+        asking = left.select(*[c.alias(n) for c, n in zip([*here, F.col(quoted(asked))], names, strict=True)]).filter(F.col(names[-1]).isNotNull()).distinct()
+        asking = _given_back(asking, names[:-1], met, one).select(*there, F.col(names[-1]).alias(value), F.lit(int("=" in sign)).alias(late), *map(F.col, names))
+        telling = right.filter(F.col(quoted(told)).isNotNull()).groupBy(*there, F.col(quoted(told)).alias(value)).agg(*partial).withColumn(late, F.lit(int("=" not in sign)))
+        both = asking.unionByName(telling, allowMissingColumns=True)
+        order = F.desc(value) if sign.startswith(">") else F.asc(value)
+        running = Window.partitionBy(*there).orderBy(order, F.asc(late)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.select(late, *names, *[then(how, n).over(running).alias(n) for n, (how, _) in aggregates.items()]).filter(F.col(late) == int("=" in sign))
+        totals = both.groupBy(*names).agg(*whole).toDF(*one, asked, *aggregates) if asked not in one else both.groupBy(*names[:-1]).agg(*whole).toDF(*one, *aggregates)
+        one = list(dict.fromkeys([*one, asked]))
+    names = free_names([f"t{i}" for i in range(len(one))], left, totals)
+    totals = totals.toDF(*names, *aggregates)
+    found = _given_back(left, one, totals, names, "right")
+    return found.select(*[F.col(quoted(c)) for c in left.columns], *[F.coalesce(n, F.lit(0)).alias(n) if how == "count" else F.col(n) for n, (how, _) in aggregates.items()])
+
+
 def _value(df: DataFrame, c: str) -> Column:
     """A column to compare rows by: long values by their hash."""
     x = F.col(quoted(c))

@@ -335,13 +335,13 @@ def st_cluster_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders inside each part's box."""
-    found = O.spatial_join(boxes(spark, sf_dir), dots(spark, sf_dir), "ST_Intersects", "box", "pt")
-    return found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("total"))
+    found = O.spatial_aggregate(boxes(spark, sf_dir), dots(spark, sf_dir), "ST_Intersects", "box", "pt", {"n": ("count", None), "total": ("sum", "o")})
+    return found.filter("n > 0").groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def join_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).select("k", native.st_point(F.col("x"), F.col("y")).alias("at"))
-    return O.spatial_join(p, dots(spark, sf_dir), "ST_DWithin", "at", "pt", distance=5.0).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return O.spatial_aggregate(p, dots(spark, sf_dir), "ST_DWithin", "at", "pt", {"n": ("count", None)}, distance=5.0).filter("n > 0").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def join_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,14 +352,13 @@ def join_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles (lower right halves of boxes) that contain an order: the exact test runs in Python."""
     register_all(spark)
-    t = parts(spark, sf_dir).selectExpr("k", f"ST_GeomFromText({w('POLYGON(({x} {y},{x+w} {y},{x+w} {y+w},{x} {y}))')}) AS shape")
-    return O.spatial_join(t, dots(spark, sf_dir), "ST_Covers", "shape", "pt").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    t = dealt(parts(spark, sf_dir)).selectExpr("k", f"ST_GeomFromText({w('POLYGON(({x} {y},{x+w} {y},{x+w} {y+w},{x} {y}))')}) AS shape")
+    return O.spatial_aggregate(t, dots(spark, sf_dir), "ST_Covers", "shape", "pt", {"n": ("count", None)}).filter("n > 0").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
-    found = O.spatial_join(b, dots(spark, sf_dir), "ST_Intersects", "box", "pt", how="left")
-    return found.groupBy("k").agg(F.count("o").alias("n"))
+    found = O.spatial_aggregate(boxes(spark, sf_dir), dots(spark, sf_dir), "ST_Intersects", "box", "pt", {"n": ("count", "o")})
+    return found.groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def _views(spark: SparkSession, sf_dir: str) -> None:
