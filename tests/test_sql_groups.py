@@ -79,3 +79,26 @@ def test_collections_beside_built_in_ones(crowd):
     assert tuple(none) == (None, None, None, 0)
     one = spatial_sql(crowd, "SELECT ST_Collect(shape) AS c, count(*) AS n FROM crowd WHERE id = 1").first()
     assert one.n == 1 and model.read_wkb(bytes(one.c)).box() is not None
+
+
+def test_counts_over_a_spatial_join_without_its_pairs(spark, monkeypatch):
+    """GROUP BY over a join, and over FROM a, b WHERE with a SQL function in it, which was a cross join before."""
+    from terrafold import sql
+    register_all(spark)
+
+    spark.sql("SELECT id AS k, CAST(id % 5 AS DOUBLE) AS x, CAST(id % 3 AS DOUBLE) AS y FROM range(60)").createOrReplaceTempView("tf_few")
+    spark.sql("SELECT CASE WHEN id % 9 = 0 THEN NULL ELSE id END AS o, ST_Point(id % 8, id % 4) AS pt FROM range(90)").createOrReplaceTempView("tf_many")
+    cases = [
+        ("FROM tf_few f, tf_many m WHERE ST_Distance(ST_Point(f.x, f.y), m.pt) <= 1 AND m.o % 2 = 0", "FROM tf_few f JOIN tf_many m ON pow(f.x - m.pt.x, 2) + pow(f.y - m.pt.y, 2) <= 1 AND m.o % 2 = 0"),
+        ("FROM tf_few f LEFT JOIN tf_many m ON ST_Intersects(ST_Point(f.x, f.y), m.pt) AND m.o >= f.k AND f.k % 4 <> 0", "FROM tf_few f LEFT JOIN tf_many m ON f.x = m.pt.x AND f.y = m.pt.y AND m.o >= f.k AND f.k % 4 <> 0"),
+    ]
+    used, own = [], sql._added_up
+    monkeypatch.setattr(sql, "_added_up", lambda *a: used.append(own(*a)) or used[-1])
+    for spatial, plain in cases:
+        text = "SELECT f.k % 7 AS g, count(*) AS n, count(m.o) + 1 AS some, sum(m.o) AS total, coalesce(min(m.o), -1) AS low, max(m.o) AS high {} GROUP BY f.k % 7 HAVING count(*) > 2"
+        got = sql.spatial_sql(spark, text.format(spatial))
+        want = spark.sql(text.format(plain))
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert any(u is not None for u in used)
+        used.clear()
